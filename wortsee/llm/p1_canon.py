@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -322,7 +323,7 @@ class Canon:
         return best[1]
 
 
-_built: dict[int, Canon] = {}
+_built: dict[str, Canon] = {}
 
 
 def map_values(df: DataFrame, value: str, entries: list[tuple[int, str]], to: str) -> DataFrame:
@@ -330,14 +331,14 @@ def map_values(df: DataFrame, value: str, entries: list[tuple[int, str]], to: st
     if len(entries) > MAX_LIST:
         raise ValueError(f"the list has {len(entries)} entries; at most {MAX_LIST} are held in a worker")
     spark = df.sparkSession
-    shipped = spark.sparkContext.broadcast(entries)
+    shipped, mark = spark.sparkContext.broadcast(entries), uuid.uuid4().hex
 
     @F.arrow_udf("long")
     def find(arr: pa.Array) -> pa.Array:
-        if shipped.id not in _built:
+        if mark not in _built:
             _built.clear()
-            _built[shipped.id] = Canon(shipped.value)
-        canon = _built[shipped.id]
+            _built[mark] = Canon(shipped.value)
+        canon = _built[mark]
         coded = arr.dictionary_encode()
         ids = pa.array([canon.find(v) for v in coded.dictionary.to_pylist()], pa.int64())
         return ids.take(coded.indices)

@@ -144,3 +144,23 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse(_source_tuples(spark, sf_dir)).select("origin", F.col("group_id").alias("source_id"), "keep_id", "copies")
+
+
+def _letters_sql(x: str) -> str:
+    return rf"regexp_replace(replace(lower(nfc_normalize({x})), 'ß', 'ss'), '[^\p{{L}}\p{{N}}]', '', 'g')"
+
+
+_RECORDS_SQL = rf"""
+with sw as (select 'sentence_words' origin, sw_id k, any_value(source_id) s, any_value(text) t from sentence_words where sw_id is not null group by sw_id),
+we as (select 'word_entries' origin, entry_id k, any_value(source_id) s, any_value(lemma) t, any_value(word_type) w from word_entries where entry_id is not null group by entry_id),
+cl as (select 'checkpoint_lines' origin, line_id k, any_value(source_id) s, any_value(line) l from checkpoint_lines where line_id is not null group by line_id),
+js as (select *, l::json j from cl where json_valid(l) and json_type(l) = 'OBJECT'),
+jl as (select origin, k, s, {_letters_sql("j->>'$.text'")} t, array_to_string(list_transform((j->'$.words')::json[], lambda x: {_letters_sql("x->>'$.lemma'")} || '|' || coalesce(x->>'$.word_type', '-') || '|' || coalesce(x->>'$.article', '-')), '/') w from js),
+r as (select origin, k, s, {_letters_sql("t")} v from sw where t is not null
+ union all select origin, k, s, {_letters_sql("t")} || '|' || coalesce(w, '-') from we where trim(t) <> ''
+ union all select origin, k, s, coalesce(t, '-') || '/' || coalesce(w, '-') from jl)"""
+
+SQL = {
+    "p5_found": _RECORDS_SQL + " select origin, m keep_id, k dup_id from (select origin, k, min(k) over (partition by origin, s, v) m from r) where k > m",
+    "p5_records": _RECORDS_SQL + " select origin, s source_id, min(k) keep_id, count(*) copies from r group by origin, s, v",
+}
