@@ -30,7 +30,7 @@ from .p7_tokens import LETTER, SPACE, classes
 #: Labelled documents that the model learns from at most.
 MAX_LABELLED = 4000
 #: Pairs that the ranker learns from at most.
-MAX_PAIRS = 400_000
+MAX_PAIRS = 200_000
 CHUNK_BYTES = 2 << 20
 FOLDS = 5
 #: Documents with which the mean grade weighs in a word's grade.
@@ -153,12 +153,12 @@ def raw_features(data: np.ndarray, off: np.ndarray, grades: dict[str, float] | N
 def learn_ranker(x: np.ndarray, grade: np.ndarray, max_pairs: int = MAX_PAIRS, ridge: float = 1e-3) -> np.ndarray:
     """Weights of the linear pairwise ranker, by Newton steps on the logistic loss of score differences."""
     n = len(x)
-    i, j = np.triu_indices(n, 1)
-    keep = np.abs(grade[i] - grade[j]) >= 0.5
+    if n * (n - 1) // 2 <= 2 * max_pairs:
+        i, j = np.triu_indices(n, 1)
+    else:
+        i, j = np.random.default_rng(7).integers(0, n, (2, 2 * max_pairs))
+    keep = np.flatnonzero(np.abs(grade[i] - grade[j]) >= 0.5)[:max_pairs]
     i, j = i[keep], j[keep]
-    if len(i) > max_pairs:
-        pick = np.random.default_rng(7).choice(len(i), max_pairs, replace=False)
-        i, j = i[pick], j[pick]
     swap = grade[i] < grade[j]
     i, j = np.where(swap, j, i), np.where(swap, i, j)
     d = x[i] - x[j]
