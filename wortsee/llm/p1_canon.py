@@ -35,6 +35,10 @@ from .common import WS_CLASS, once, table
 
 #: Entries that a reference list may have; it is held whole in every Python worker.
 MAX_LIST = 200_000
+#: Letter pairs that a slip takes from a value for each unit of its cost, at most: three for a transposition of cost 0.8.
+LOST = 3.75
+#: Letters of the longest value that is compared by slips; longer ones are no mistyped entries but texts.
+LONGEST_SLIP = 200
 #: By how much less cost a counter-candidate beats an entry.
 CLEARLY = 0.5
 #: How often the first and the last part of a compound must occur in the list to count as parts.
@@ -157,6 +161,17 @@ def slip_cost(a: str, b: str, most: float) -> float:
     la, lb = len(a), len(b)
     if abs(la - lb) * 0.6 > most:
         return 99.0
+    # What both begin and end with costs nothing; two letters of it stay, for doublings and transpositions.
+    i, short = 0, min(la, lb)
+    while i < short and a[i] == b[i]:
+        i += 1
+    j = 0
+    while j < short - i and a[la - 1 - j] == b[lb - 1 - j]:
+        j += 1
+    i, j = max(0, i - 2), max(0, j - 2)
+    if i or j:
+        a, b = a[i : la - j], b[i : lb - j]
+        la, lb = len(a), len(b)
     before2: list[float] = []
     before = [0.0] * (lb + 1)
     for j in range(1, lb + 1):
@@ -193,7 +208,7 @@ def slip_cost(a: str, b: str, most: float) -> float:
 
 def allowed(length: int) -> float:
     """Cost of the slips that a value of so many letters may have."""
-    return 0.0 if length < 3 else 1.0 if length < 6 else 2.0 if length < 9 else 3.0 if length < 14 else 3.6
+    return 0.0 if length < 3 else 1.0 if length < 6 else 2.0 if length < 9 else 2.6 if length < 13 else 3.0
 
 
 class Canon:
@@ -234,6 +249,8 @@ class Canon:
                 pairs[p].append(n)
         self.postings = {p: np.array(v, np.int32) for p, v in pairs.items()}
         self.lengths = np.array([len(n) for n in self.names], np.int32)
+        self.signs = {c: i for i, c in enumerate(sorted({c for n in self.names for c in n}))}
+        self.bags = np.array([self.bag(n)[0] for n in self.names], np.int16).reshape(len(self.names), len(self.signs))
         self.cache: dict[str, int] = {}
 
     @staticmethod
@@ -241,6 +258,16 @@ class Canon:
         padded = f"^{key}$"
         return {padded[i : i + 2] for i in range(len(padded) - 1)}
 
+    def bag(self, key: str) -> tuple[np.ndarray, int]:
+        """How often each letter of the list occurs in a key, and how many other letters it has."""
+        counts, others = np.zeros(len(self.signs), np.int16), 0
+        for c in key:
+            if c in self.signs:
+                counts[self.signs[c]] += 1
+            else:
+                others += 1
+        return counts, others
+
     def mention(self, text: str) -> int | None:
         """The entry mentioned in a value, if nothing but notation stands around its longest mention."""
         if not len(self.auto):
@@ -262,9 +289,8 @@ class Canon:
             around[a:b] = " " * (b - a)
         return taken[0][2] if all(t in PARTICLES or len(t) == 1 for t in "".join(around).split()) else None
 
-    def nearest(self, key: str) -> tuple[float, int]:
-        """Cost and id of the entry or counter-candidate nearest to a value's letters; (99, 0) if none is near."""
-        most = allowed(len(key))
+    def nearest(self, key: str, most: float) -> tuple[float, int]:
+        """Cost and id of the entry or counter-candidate nearest to a value's letters; (99, 0) if none is near enough."""
         if most <= 0 or not self.names:
             return 99.0, 0
         pairs = self.pairs(key)
@@ -272,25 +298,33 @@ class Canon:
         if not hits:
             return 99.0, 0
         shared = np.bincount(np.concatenate(hits), minlength=len(self.names))
-        # A slip changes at most three letter pairs of a name and costs at least 0.6.
-        need = np.maximum(1, len(pairs) - int(most / 0.75) * 3)
-        at = np.flatnonzero((shared >= need) & (np.abs(self.lengths - len(key)) <= 4))
-        # Dice similarity of the two token sets.
-        order = at[np.argsort(-2.0 * shared[at] / (len(pairs) + self.lengths[at] + 1), kind="stable")]
-        best, ids, lacked = most + 1e-9, set(), 99.0
-        for n in order:
-            if len(pairs) - shared[n] > (best / 0.6) * 3 + 1e-9:
-                continue
-            i = self.pool[self.names[n]]
-            c = slip_cost(key, self.names[n], best)
-            if c > best + 1e-9:
-                continue
-            if not i:
-                lacked = min(lacked, c)
-            elif c < best - 1e-9:
-                best, ids = c, {i}
-            else:
-                ids.add(i)
+        at = np.flatnonzero(shared >= max(1, len(pairs) - LOST * most))
+        # Letters that one has and the other lacks cost at least 0.6 each to bring in or out.
+        counts, others = self.bag(key)
+        gap = self.bags[at] - counts
+        at_least = 0.6 * np.maximum(np.where(gap > 0, gap, 0).sum(1), np.where(gap < 0, -gap, 0).sum(1) + others)
+        # Most alike by the Dice coefficient of the two token sets first; wider bounds only if narrow ones find nothing.
+        alike = 2.0 * shared[at] / (len(pairs) + self.lengths[at] + 1)
+        best, ids, lacked = 99.0, set(), 99.0
+        for bound in sorted({b for b in (1.0, 2.0) if b < most} | {most}):
+            near = (at_least <= bound) & (shared[at] >= len(pairs) - LOST * bound)
+            best = bound + 1e-9
+            for k in np.flatnonzero(near)[np.argsort(-alike[near], kind="stable")]:
+                n = at[k]
+                if at_least[k] > best or shared[n] < len(pairs) - LOST * best:
+                    continue
+                i = self.pool[self.names[n]]
+                c = slip_cost(key, self.names[n], best)
+                if c > best + 1e-9:
+                    continue
+                if not i:
+                    lacked = min(lacked, c)
+                elif c < best - 1e-9:
+                    best, ids = c, {i}
+                else:
+                    ids.add(i)
+            if ids or lacked < bound - CLEARLY:
+                break
         # Slips are made on words that learners have: a name of the list is meant unless one that it lacks is clearly nearer.
         if not ids or lacked < best - CLEARLY:
             return (99.0, 0) if lacked > 90 else (lacked, 0)
@@ -316,8 +350,8 @@ class Canon:
                 return 0
         best = (99.0, 0)
         for key in keys[:2]:
-            if len(key) <= 60:
-                got = self.nearest(key)
+            if len(key) <= LONGEST_SLIP:
+                got = self.nearest(key, min(allowed(len(key)), best[0]))
                 if got[0] < best[0]:
                     best = got
         return best[1]
@@ -339,13 +373,15 @@ def map_values(df: DataFrame, value: str, entries: list[tuple[int, str]], to: st
             _built.clear()
             _built[mark] = Canon(shipped.value)
         canon = _built[mark]
-        coded = arr.dictionary_encode()
-        ids = pa.array([canon.find(v) for v in coded.dictionary.to_pylist()], pa.int64())
-        return ids.take(coded.indices)
-
-    names = spark.createDataFrame([(n,) for _, n in entries], f"{'`' + value + '`'} string").distinct()
-    cases = df.where(F.col(value).isNotNull() & ~F.col(value).rlike(f"^{WS_CLASS}*$"))
-    return cases.join(F.broadcast(names), value, "left_anti").withColumn(to, find(F.col(value)))
+        return pa.array([canon.find(v) for v in arr.to_pylist()], pa.int64())
+
+    name = f"`{value}`"
+    names = spark.createDataFrame([(n,) for _, n in entries], f"{name} string").distinct()
+    cases = df.where(F.col(name).isNotNull() & ~F.col(name).rlike(f"^{WS_CLASS}*$"))
+    # Each distinct value is looked up once; small as they are, the values need all the cores.
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = cases.select(name).distinct().join(F.broadcast(names), value, "left_anti").repartition(tasks, name).withColumn(to, find(F.col(name)))
+    return cases.join(found, value)
 
 
 def _list(spark: SparkSession, sf_dir: str) -> list[tuple[int, str]]:
