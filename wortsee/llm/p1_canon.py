@@ -378,9 +378,10 @@ def map_values(df: DataFrame, value: str, entries: list[tuple[int, str]], to: st
     name = f"`{value}`"
     names = spark.createDataFrame([(n,) for _, n in entries], f"{name} string").distinct()
     cases = df.where(F.col(name).isNotNull() & ~F.col(name).rlike(f"^{WS_CLASS}*$"))
+    cases = cases.join(F.broadcast(names), value, "left_anti")
     # Each distinct value is looked up once; small as they are, the values need all the cores.
     tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = cases.select(name).distinct().join(F.broadcast(names), value, "left_anti").repartition(tasks, name).withColumn(to, find(F.col(name)))
+    found = cases.select(name).distinct().repartition(tasks, name).withColumn(to, find(F.col(name)))
     return cases.join(found, value)
 
 
