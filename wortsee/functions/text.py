@@ -35,13 +35,20 @@ def folding_exceptions() -> dict[str, str]:
     return {c: c.casefold() for c in every if c.casefold() != c.lower() and c != "ß"} | {"Σ": "σ"}
 
 
+@cache
+def plain_ranges(gap: int = 100) -> list[tuple[int, int]]:
+    """Long ranges of code points without exceptions; few, so that a regex class of them is quick."""
+    odd = sorted(map(ord, folding_exceptions()))
+    edges = zip([-1, *odd], [*odd, sys.maxunicode + 1])
+    return [(a + 1, b - 1) for a, b in edges if b - a > gap]
+
+
 def casefold(c: Column) -> Column:
-    """Full Unicode case folding. Strings without exceptional characters, nearly all, take the short way."""
-    special = folding_exceptions()
-    pattern = "[" + "".join(f"\\x{{{ord(k):X}}}" for k in special) + "]"
-    table = F.create_map(*[F.lit(x) for pair in special.items() for x in pair])
+    """Full Unicode case folding. Strings of plain ranges only, nearly all, take the short way."""
+    table = F.create_map(*[F.lit(x) for pair in folding_exceptions().items() for x in pair])
+    plain = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in plain_ranges())
     each = F.transform(F.split(c, ""), lambda ch: F.coalesce(F.element_at(table, ch), F.replace(F.lower(ch), F.lit("ß"), F.lit("ss"))))
-    return F.when(c.rlike(pattern), F.array_join(each, "")).otherwise(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")))
+    return F.when(c.rlike(f"[^{plain}]"), F.array_join(each, "")).otherwise(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")))
 
 
 def normalize_word(c: Column) -> Column:

@@ -20,6 +20,7 @@ ORDINAL_END = r"(^|[\s\x{85}\x{A0}\x{2028}\x{2029}])\p{Nd}{1,2}\.$"
 ABBREVIATIONS = r"(z\.\s?B|d\.\s?h|u\.\s?a|u\.\s?Ä|o\.\s?ä|i\.\s?d|s\.\s?o|s\.\s?u|v\.\s?a|Dr|Prof|Hr|Fr|St|Nr|Bd|Kap|Abb|Tab|S|usw|bzw|ca|etc|evtl|ggf|inkl|vgl|mind|max|Mr|Mrs|Ms|Jan|Febr|Aug|Sept|Okt|Nov|Dez)"
 #: Where the rule profile cuts: white space after a terminator with closing signs, before a capital, a digit or an opening sign.
 _CUT = r"(?<=[.!?…][\"'»«“”’)]{0,3})\s+(?=[\"'„»«“‚(]*[\p{Lu}\p{Nd}])"
+_INITIAL = r"(?<![\p{L}])([a-zäöü])\.(?=\s)"
 _SHIELD = r"(?<![\p{L}])" + ABBREVIATIONS + r"\.(?=\s)"
 
 
@@ -53,6 +54,7 @@ def rule_split(text: Column) -> Column:
     """Sentences of a text by the rule profile, white space collapsed; native, for German and like languages."""
     flat = collapse_ws(text)
     shielded = F.regexp_replace(flat, _SHIELD, "$1\u0001")
+    shielded = F.regexp_replace(shielded, _INITIAL, "$1\u0001")
     parts = F.split(F.regexp_replace(shielded, _CUT, "\u0002"), "\u0002")
     return F.filter(F.transform(parts, lambda p: F.trim(F.replace(p, F.lit("\u0001"), F.lit(".")))), lambda p: p != "")
 

@@ -136,7 +136,8 @@ def join_segments(spark, d):
 
 _ABBR = r"(z\.\s?B|d\.\s?h|u\.\s?a|u\.\s?Ä|o\.\s?ä|i\.\s?d|s\.\s?o|s\.\s?u|v\.\s?a|Dr|Prof|Hr|Fr|St|Nr|Bd|Kap|Abb|Tab|S|usw|bzw|ca|etc|evtl|ggf|inkl|vgl|mind|max|Mr|Mrs|Ms|Jan|Febr|Aug|Sept|Okt|Nov|Dez)"
 _shield = lambda c: rf"regexp_replace({c}, '(^|[^\p{{L}}]){_ABBR}\.(\s)', '\1\2' || chr(1) || '\3', 'g')"
-_split_sql = lambda c: rf"""list_filter(list_transform(string_split(regexp_replace({_shield(_shield(_squeeze(c)))}, '([.!?…]["''»«“”’)]{{0,3}})\s+(["''„»«“‚(]*[\p{{Lu}}\p{{Nd}}])', '\1' || chr(2) || '\2', 'g'), chr(2)), lambda p: trim(replace(p, chr(1), '.'))), lambda p: p <> '')"""
+_initial = lambda c: rf"regexp_replace({c}, '(^|[^\p{{L}}])([a-zäöü])\.(\s)', '\1\2' || chr(1) || '\3', 'g')"
+_split_sql = lambda c: rf"""list_filter(list_transform(string_split(regexp_replace({_initial(_initial(_shield(_shield(_squeeze(c)))))}, '([.!?…]["''»«“”’)]{{0,3}})\s+(["''„»«“‚(]*[\p{{Lu}}\p{{Nd}}])', '\1' || chr(2) || '\2', 'g'), chr(2)), lambda p: trim(replace(p, chr(1), '.'))), lambda p: p <> '')"""
 
 
 @query(f"with s as (select doc_id, {_split_sql('text')} ss from documents where text is not null) select doc_id, u.i - 1 pos, ss[u.i] text from s, unnest(range(1, len(ss) + 1)) u(i)")
