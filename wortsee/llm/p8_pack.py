@@ -103,7 +103,7 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, bucket
     ranked = (
         rest.withColumn("i", F.row_number().over(within))
         .withColumn("fi", F.sum("n_full").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_full"))
-        .join(offsets, ["rest", "bucket"])  # partitioned alike, and not broadcast: it may have capacity * buckets rows
+        .join(offsets.hint("merge"), ["rest", "bucket"])  # partitioned alike, and not broadcast: it may have capacity * buckets rows
         .withColumn("rank", F.col("r0") + F.col("i"))
         .withColumn("first_full", F.col("f0") + F.col("fi"))
     )
