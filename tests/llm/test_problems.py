@@ -108,6 +108,34 @@ def test_scans(spark):
     assert {(r["word"], r["right"]) for r in words.where("word <> right").collect()} == {("Katzc", "Katze")}
 
 
+FLOW = ["Die Katze sieht einen großen Hund, der vor der", "alten Mühle steht und mit dem Nachbarn auf das", "Wasser schaut, während der Wind durch den Gar-", "ten zieht und die Blätter auf den Weg wirft, bis", "am Abend der Regen kommt und das Fen-"]
+NEXT = ["ster nass ist. Die Katze läuft in das Haus, das", "neben der Mühle steht, und schläft auf dem Ofen,", "bis der Hund kommt und sie weckt. Es war 1787.", "Dann gehen beide zu der Wiese und laufen um die", "Wette, und der Nachbar lacht über das Geheim-"]
+LAST = ["nis der beiden Tiere, die er gut kennt, weil er", "sie gefüttert hat und weil er sie oft sieht."]
+
+
+@pytest.mark.parametrize(
+    ("indented", "line", "furniture"),
+    [
+        (" {}<br/>\n", "{}<br/>\n", (["– 15 –", "Katze und Hund . . ."], ["– 16 –", "Das Buch . . ."], ["– 17 –"])),
+        ('<p class="in">{}</p>\n', "<p>{}</p>\n", (["Seite 10 Der Fischerbecher . . ."], ["Teil 1 . . . Seite 11"], ["Seite 12 Der Fischerbecher . . ."])),
+        ('<div class="in">{}</div>\n', "<div>{}</div>\n", (["K A T Z E   U N D   H U N D", "xix"], ["D A S   B U C H", "xx"], ["i"])),
+    ],
+)
+def test_scans_without_page_divs(spark, indented, line, furniture):
+    a, b, c = ("".join(line.format(f) for f in lines) for lines in furniture)
+    html = "<html><body>\n" + indented.format(FLOW[0]) + "".join(line.format(x) for x in FLOW[1:]) + a + "".join(line.format(x) for x in NEXT) + b + "".join(line.format(x) for x in LAST) + c + "</body></html>"
+    # A chapter of a few lines is known by its book; verse and clean paragraphs are no scans.
+    small = "<html><body>\n" + indented.format("Also weiter.") + line.format("– 30 –") + "</body></html>"
+    verse = "<html><body>" + "<br/>".join(["Es war einmal", "im Tal", "ein alter Mann,", "der sang und sang", "so gut er kann"]) + "</body></html>"
+    clean = "<html><body><p>" + "Die Katze. " * 60 + "Ein Fenster, der Garten und ein Geheimnis.</p><p>Also weiter.</p></body></html>"
+    got, words = scan_tables(spark, [(1, 1, "Katze und Hund", html), (2, 1, "Drei", small), (3, 2, None, verse), (4, 3, None, clean), (5, 1, "Der Fischerbecher", html)])
+    rows = {r["chapter_id"]: r for r in got.collect()}
+    assert {i: r["scan"] for i, r in rows.items()} == {1: True, 2: True, 3: False, 4: False, 5: True}
+    assert set(rows[1]["removed"]) == {" ".join(f.split()) for lines in furniture for f in lines} and rows[2]["removed"] == ["– 30 –"]
+    assert {r["value"] for r in p3_scans.broken_words(got.where("scan and chapter_id = 1"), words).collect()} == {"Garten", "Fenster", "Geheimnis"}
+    assert len(p3_scans.paragraphs(p3_scans.furniture(html, [], [], [])[0])) == 1
+
+
 def test_misreadings_share_a_form():
     for right, wrong in p3_scans.MISREADINGS:
         a, b = f"X{right}y", f"X{wrong}y"

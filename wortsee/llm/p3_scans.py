@@ -5,7 +5,10 @@
    form returns at the edges of other pages of the book, or is the title of the
    chapter or book, are running heads. Numbers at page edges are furniture if
    they count along with the pages: their distance to the page is the one most
-   frequent in the book, or one that several pages share.
+   frequent in the book, or one that several pages share. A scan converted
+   without page divs is known by its lines, which are filled up to one width
+   and run on; its pages are found by the numbers that count up across the text
+   and by lines that stand outside of its flow.
 2. What remains is joined to paragraphs across lines and pages. Whether a hyphen
    at a line end belongs to the word is decided by the vocabulary of the corpus.
 3. Words that share a form under the classes of confusable characters are
@@ -13,7 +16,7 @@
    undoing misreadings is misread. Vocabulary and confusions are tables that are
    joined, not broadcast.
 
-Defined results: null and empty html, and books without pages, make no case; a
+Defined results: null and empty html, and clean markup, make no case; a
 null book or title only takes away that evidence; redelivered chapters count
 once; a chapter without text has an empty list of paragraphs.
 """
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+import zlib
 from collections import Counter
 from functools import lru_cache
 
@@ -38,6 +42,10 @@ MIN_PAGES = 2
 #: A word is misread if the word it comes from is so many times as frequent.
 TIMES = 5
 HYPHENS = "-‐‑¬=\xad"
+#: Lines of a scan are no longer than this; so many that run on and are filled, and such a share of its lines and of those that run on, make a scan without page divs.
+LONGEST, MIN_WRAPPED, SHARE_OF_LINES, SHARE_OF_RUNS = 160, 2, 0.1, 0.6
+#: Lines that each page left out between two page numbers has at least; candidates before a number that are looked at as its predecessor.
+LEAST_LINES, LOOK_BACK = 5, 64
 
 # How scanners misread (as it should read -> as read).
 MISREADINGS = (
@@ -136,6 +144,112 @@ def pages(markup: str) -> list[tuple[int, list[tuple[str, bool]]]]:
     return out
 
 
+def flat_lines(markup: str) -> list[tuple[str, bool]]:
+    """Lines of markup without page divs: the text, and whether it is indented."""
+    out, pos, classed = [], 0, False
+    for b in [*_BLOCK.finditer(markup), None]:
+        for k, raw in enumerate(_BREAK.split(markup[pos : b.start() if b else len(markup)])):
+            said = html_lib.unescape(_TAGS.sub("", raw))
+            if text := said.strip():
+                out.append((text, classed or (k > 0 and said[0].isspace())))
+                classed = False
+        if b:
+            pos = b.end()
+            classed = not b[1] and 'class="in"' in b[3]
+    return out
+
+
+_ENDED = re.compile(r"[.!?…:][\"»«“”‘’›‹)\]]*$")
+
+
+def wrapped(lines: list[tuple[str, bool]]) -> tuple[int, int, int, int]:
+    """Of lines: how many run on in small letters, how many of these are filled, the width up to which, and the pairs of lines."""
+    if len(lines) < 2 or max(len(t) for t, _ in lines) > LONGEST:
+        return 0, 0, 0, max(0, len(lines) - 1)
+    runs = [(a, b) for (a, _), (b, _) in zip(lines, lines[1:]) if b[0].islower() and not _ENDED.search(a)]
+    width = max((len(a) for a, _ in runs), default=0)
+    return len(runs), sum(len(a) + 1 + len(b.split()[0]) >= width for a, b in runs), width, len(lines) - 1
+
+
+def _heading(text: str) -> bool:
+    """Whether a line may be a running head; spaced letters count as words of their own not."""
+    return bool(text) and not _sentence_like(text) and not text[0].islower() and sum(len(w) > 1 for w in text.split()) <= 8 and any(c.isalpha() for c in text)
+
+
+def _capitals(text: str) -> bool:
+    """Whether a line is set in capitals, spaced or not."""
+    return sum(c.isalpha() for c in text) > 3 and text.upper() == text
+
+
+def counting(lines: list[tuple[str, bool]], unfilled: list[bool]) -> set[int]:
+    """Places of the lines with a page number: of those with a number the chain that counts up with the lines."""
+    found: list[tuple[int, str, int, int]] = []  # place, kind, value, weight
+    for i, (text, indented) in enumerate(lines):
+        if indented:
+            continue
+        for number, rest in parts_of(text):
+            # The last line of a paragraph may be a number too, but has a full stop.
+            if not number or (not rest and text[-1] in ".,") or (rest and not _heading(rest)):
+                continue
+            marked = unfilled[i] or _capitals(rest) or bool(_LEADERS.search(rest)) or bool(re.match(r"(?i)\W*(?:seite|page)\b", number))
+            found += [(i, kind, value, 3 if not rest else 2 if marked else 1) for kind, value in numbers_of(number)]
+    best: list[tuple[int, int]] = []  # weight of the chain that ends here, its place before
+    for j, (at, kind, value, weight) in enumerate(found):
+        most, back = 0, -1
+        for k in range(max(0, j - LOOK_BACK), j):
+            at_k, kind_k, value_k, weight_k = found[k]
+            follows = kind == kind_k and 0 < value - value_k and at - at_k > LEAST_LINES * (value - value_k - 1)
+            # Numbers may start anew, or turn from roman to arabic, on lines of their own.
+            anew = not follows and at > at_k and ((kind_k, kind) == ("r", "a") or (kind == kind_k and value < value_k and weight == weight_k == 3))
+            if (follows or anew) and best[k][0] - 2 * anew > most:
+                most, back = best[k][0] - 2 * anew, k
+        best.append((weight + most, back))
+    chain: set[int] = set()
+    if found:
+        j = max(range(len(found)), key=lambda k: (best[k][0], -k))
+        if best[j][0] > 1:
+            while j >= 0:
+                chain.add(found[j][0])
+                j = best[j][1]
+    return chain
+
+
+def inferred(markup: str) -> tuple[list[tuple[int, list[tuple[str, bool]]]], set[tuple[int, int]]]:
+    """Pages of a scan without page divs as pages() has them, and (page's place, line's place) of the page numbers."""
+    lines = flat_lines(markup)
+    width = wrapped(lines)[2] or max((len(t) for t, _ in lines), default=0)
+    room = lambda i, after: len(lines[i][0]) + 1 + len(after.split()[0]) < width - 1 if after else True
+    numbers = counting(lines, [room(i, lines[i + 1][0] if i + 1 < len(lines) else "") for i in range(len(lines))])
+    # Lines outside of the flow, from the end on: what follows a line is the next line of the text.
+    outside, after = set(numbers), ""
+    for i in range(len(lines) - 1, -1, -1):
+        text, indented = lines[i]
+        if i in numbers:
+            continue
+        if not indented and _heading(text) and (room(i, after) or _capitals(text) or (i - 1 in numbers and _LEADERS.search(text))):
+            outside.add(i)
+        else:
+            after = text
+    cuts = {0}
+    for i in sorted(outside):
+        if i - 1 not in outside:
+            m = 1
+            while i + m in outside:
+                m += 1
+            cuts.add(i + max(0, m - HEAD_LINES) if i else 0)
+    indents = any(indented for _, indented in lines)
+    starts = [ind if indents else i == 0 or bool(_ENDED.search(lines[i - 1][0]) and room(i - 1, t)) for i, (t, ind) in enumerate(lines)]
+    # Pages without a number have negative ones, which differ between chapters.
+    unknown = zlib.crc32(markup.encode("utf-8", "replace")) % 2_000_000 * 1000
+    edges = [*sorted(cuts), len(lines)]
+    out, places = [], set()
+    for k, (a, b) in enumerate(zip(edges, edges[1:])):
+        said = [v for i in range(a, b) if i in numbers for n, _ in parts_of(lines[i][0]) if n for _, v in numbers_of(n)]
+        out.append((said[0] if said else -1 - unknown - k % 1000, [(lines[i][0], starts[i]) for i in range(a, b)]))
+        places |= {(k, i - a) for i in range(a, b) if i in numbers}
+    return out, places
+
+
 def edge_places(n: int) -> list[int]:
     """Places of a page's n lines that may be furniture."""
     return sorted({*range(min(HEAD_LINES, n)), *range(max(0, n - FOOT_LINES), n)})
@@ -144,10 +258,11 @@ def edge_places(n: int) -> list[int]:
 def edges_of(markup: str | None) -> list[dict]:
     """Evidence of a chapter's page edges: forms of texts, and distances of numbers to their page."""
     out = []
-    for no, lines in pages(markup or ""):
+    paged = bool(_PAGE.search(markup or ""))
+    for no, lines in pages(markup) if paged else inferred(markup or "")[0]:
         for at in edge_places(len(lines)):
             for number, text in parts_of(lines[at][0]):
-                for kind, value in numbers_of(number) if number else ():
+                for kind, value in numbers_of(number) if number and paged else ():
                     out.append({"what": kind, "value": str(value - no), "page": no})
                 if text and (number or not _sentence_like(text)):
                     out.append({"what": "t", "value": line_form(text), "page": no})
@@ -169,17 +284,19 @@ def furniture(markup: str, titles: list[str | None], heads: list[str], distances
     title_forms = {line_form(t) for t in titles if t} - {""}
     heads_set, known = set(heads), set(distances)
     kept, removed = [], []
-    for no, lines in pages(markup):
+    paged = bool(_PAGE.search(markup))
+    found, places = (pages(markup), set()) if paged else inferred(markup)
+    for k, (no, lines) in enumerate(found):
         n, sure, numbered = len(lines), set(), set()
         for at in edge_places(n):
             for number, text in parts_of(lines[at][0]):
-                counts = bool(number) and any(f"{k}{v - no}" in known for k, v in numbers_of(number))
+                counts = bool(number) and (any(f"{kind}{v - no}" in known for kind, v in numbers_of(number)) if paged else (k, at) in places)
                 shape = line_form(text)
                 head = bool(shape) and (shape in title_forms or (shape in heads_set and not _sentence_like(text)))
                 if counts and not text:
                     sure.add(at)
                     numbered.add(at)
-                elif counts and (head or (at in (0, n - 1) and _title_like(text))):
+                elif counts and (head or (at in (0, n - 1) and _title_like(text)) or not paged):
                     sure.add(at)
                 elif head and not number:
                     sure.add(at)
@@ -233,7 +350,7 @@ def break_forms(a: str, b: str) -> tuple[str, str, str, str]:
 
 def read_scan(markup: str | None, titles: list[str | None], heads: list[str], distances: list[str]) -> dict:
     """What a scanned chapter gives: lines removed, word counts and broken words."""
-    if not markup or not _PAGE.search(markup):
+    if not markup:
         return {"removed": [], "words": [], "breaks": []}
     kept, removed = furniture(markup, titles, heads, distances)
     words: Counter = Counter()
@@ -307,20 +424,29 @@ _READ = pa.struct([
     ("breaks", pa.list_(pa.struct([("a", pa.string()), ("b", pa.string()), ("one", pa.string()), ("hyphened", pa.string())]))),
 ])
 CORRECTED = "array<struct<word:string,n:long,right:string,n_right:long>>"
-EDGES = "array<struct<what:string,value:string,page:int>>"
+LOOKED = "struct<paged:boolean,short:boolean,runs:int,filled:int,pairs:int,edges:array<struct<what:string,value:string,page:int>>>"
+_LOOKED = pa.struct([
+    ("paged", pa.bool_()), ("short", pa.bool_()), ("runs", pa.int32()), ("filled", pa.int32()), ("pairs", pa.int32()),
+    ("edges", pa.list_(pa.struct([("what", pa.string()), ("value", pa.string()), ("page", pa.int32())]))),
+])
 
 
-def _edges(markup: pa.Array) -> pa.Array:
-    return pa.array([edges_of(m) for m in markup.to_pylist()], pa.list_(pa.struct([("what", pa.string()), ("value", pa.string()), ("page", pa.int32())])))
+def look(markup: str) -> dict:
+    """What a chapter's layout tells: page divs, only short lines, counts of wrapped lines; evidence of its page edges if it may be a scan."""
+    paged = bool(_PAGE.search(markup))
+    lines = [] if paged else flat_lines(markup)
+    short = bool(lines) and max(len(t) for t, _ in lines) <= LONGEST
+    runs, filled, _, pairs = wrapped(lines)
+    return {"paged": paged, "short": short, "runs": runs, "filled": filled, "pairs": pairs, "edges": edges_of(markup) if paged or short else []}
 
 
-def _read(markup: pa.Array, title: pa.Array, book: pa.Array, heads: pa.Array, distances: pa.Array) -> pa.Array:
-    rows = zip(*(x.to_pylist() for x in (markup, title, book, heads, distances)))
-    return pa.array([read_scan(m, [t, b], h or [], d or []) for m, t, b, h, d in rows], _READ)
+def _look(markup: pa.Array) -> pa.Array:
+    return pa.array([look(m) for m in markup.to_pylist()], _LOOKED)
 
 
-def _clean(markup: pa.Array) -> pa.Array:
-    return pa.array([clean_words(m) for m in markup.to_pylist()], _READ)
+def _read(scan: pa.Array, markup: pa.Array, title: pa.Array, book: pa.Array, heads: pa.Array, distances: pa.Array) -> pa.Array:
+    rows = zip(*(x.to_pylist() for x in (scan, markup, title, book, heads, distances)))
+    return pa.array([read_scan(m, [t, b], h or [], d or []) if s else clean_words(m) for s, m, t, b, h, d in rows], _READ)
 
 
 def _corrections(members: pa.Array) -> pa.Array:
@@ -333,9 +459,9 @@ def _form(word: pa.Array) -> pa.Array:
     return pa.array([form(w) for w in word.to_pylist()], pa.string())
 
 
-def furniture_evidence(scans: DataFrame) -> DataFrame:
+def furniture_evidence(edges: DataFrame) -> DataFrame:
     """For each book: the forms that return at page edges, and the distance of its page numbers."""
-    edges = scans.where("source_id is not null").select("source_id", F.explode(F.arrow_udf(_edges, EDGES)(F.col("html"))).alias("e")).select("source_id", "e.*").where("value <> ''")
+    edges = edges.where("source_id is not null").select("source_id", F.explode("edges").alias("e")).select("source_id", "e.*").where("value <> ''")
     counted = edges.groupBy("source_id", "what", "value").agg(F.countDistinct("page").alias("pages"))
     heads = F.collect_list(F.when((F.col("what") == "t") & (F.col("pages") >= MIN_PAGES), F.col("value")))
     # The most frequent distance counts even on one page, which may be the book's only one.
@@ -346,19 +472,34 @@ def furniture_evidence(scans: DataFrame) -> DataFrame:
     return counted.groupBy("source_id").agg(heads.alias("heads"), F.array_compact(F.array_append(shared, best)).alias("distances"))
 
 
-def scan_tables(chapters: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(chapters as read, words): words has word, n, right and n_right for every word of the corpus and every form of a broken word."""
+def _wraps(runs: str, filled: str, pairs: str):
+    return (F.col(filled) >= MIN_WRAPPED) & (F.col(filled) >= SHARE_OF_LINES * F.col(pairs)) & (F.col(filled) >= SHARE_OF_RUNS * F.col(runs))
+
+
+def prepare(chapters: DataFrame, sources: DataFrame) -> DataFrame:
+    """(chapter_id, html, title, book, scan, heads, distances) of every chapter."""
     once_each = once(chapters.where("html is not null"), ["chapter_id"], ["source_id", "title", "html"])
-    is_scan = F.col("html").rlike(r"(?i)<div\b[^>]*\bclass=[\"'](pg|page)[\"']")
-    scans = once_each.where(is_scan)
+    looked = cut(once_each.select("chapter_id", "source_id", F.arrow_udf(_look, LOOKED)(F.col("html")).alias("l")).select("chapter_id", "source_id", "l.*"))
+    # A chapter of a few lines shows no layout of its own: then that of its book counts.
+    sums = looked.where("short and source_id is not null").groupBy("source_id").agg(*[F.sum(c).alias(f"b_{c}") for c in ("runs", "filled", "pairs")])
+    book_wraps = sums.select("source_id", _wraps("b_runs", "b_filled", "b_pairs").alias("wraps"))
+    # Whether it has page divs was seen; lines alone make a scan only where all of them are short.
+    is_scan = F.col("paged") | (F.col("short") & (_wraps("runs", "filled", "pairs") | F.coalesce(F.col("wraps"), F.lit(False))))
+    flags = looked.join(book_wraps, "source_id", "left").select("chapter_id", "source_id", "edges", is_scan.alias("scan"))
+    evidence = furniture_evidence(flags.where("scan"))
     books = once(sources, ["source_id"], ["title"]).withColumnRenamed("title", "book")
-    evidence = furniture_evidence(scans)
-    read = (
-        scans.join(books, "source_id", "left").join(evidence, "source_id", "left")
-        .select("chapter_id", F.arrow_udf(_read, READ)("html", "title", "book", "heads", "distances").alias("read")).select("chapter_id", "read.*")
-    )
-    clean = once_each.where(~is_scan).select("chapter_id", F.arrow_udf(_clean, READ)(F.col("html")).alias("read")).select("chapter_id", "read.*")
-    got = cut(read.withColumn("scan", F.lit(True)).unionByName(clean.withColumn("scan", F.lit(False))))
+    told = flags.drop("edges").join(books, "source_id", "left").join(evidence, "source_id", "left").drop("source_id")
+    return once_each.drop("source_id").join(told, "chapter_id")
+
+
+def scan_tables(chapters: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chapters as read, words): words has word, n, right and n_right for every word of the corpus and every form of a broken word."""
+    return read_tables(prepare(chapters, sources))
+
+
+def read_tables(prepared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """scan_tables() of what prepare() gives."""
+    got = cut(prepared.select("chapter_id", "scan", F.arrow_udf(_read, READ)("scan", "html", "title", "book", "heads", "distances").alias("read")).select("chapter_id", "read.*", "scan"))
     said = got.select(F.explode("words").alias("w")).select("w.word", F.col("w.n").cast("long").alias("n"))
     broken = got.select(F.explode("breaks").alias("b"))
     forms = broken.select(F.explode(F.array("b.one", "b.hyphened")).alias("word"), F.lit(0).cast("long").alias("n"))
@@ -427,12 +568,10 @@ def _repaired(markup: pa.Array, title: pa.Array, book: pa.Array, heads: pa.Array
 
 def p3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(chapter_id, paragraph, text) of every scanned chapter, continuous and repaired."""
-    chapters, sources = table(spark, sf_dir, "chapters"), table(spark, sf_dir, "sources")
-    got, words = scan_tables(chapters, sources)
-    scans = once(chapters.where("html is not null"), ["chapter_id"], ["source_id", "title", "html"]).where(F.col("html").rlike(r"(?i)<div\b[^>]*\bclass=[\"'](pg|page)[\"']"))
-    books = once(sources, ["source_id"], ["title"]).withColumnRenamed("title", "book")
+    prepared = prepare(table(spark, sf_dir, "chapters"), table(spark, sf_dir, "sources"))
+    got, words = read_tables(prepared)
     wrong = words.where("right <> word").select("word", "right")
     fixes = got.where("scan").select("chapter_id", F.explode("words.word").alias("word")).join(wrong, "word").groupBy("chapter_id").agg(F.collect_list(F.struct("word", "right")).alias("fixes"))
     broken = broken_words(got.where("scan"), words).where("value is not null").groupBy("chapter_id").agg(F.collect_list(F.struct("a", "b", "value")).alias("broken"))
-    full = scans.join(books, "source_id", "left").join(furniture_evidence(scans), "source_id", "left").join(fixes, "chapter_id", "left").join(broken, "chapter_id", "left")
+    full = prepared.where("scan").join(fixes, "chapter_id", "left").join(broken, "chapter_id", "left")
     return full.select("chapter_id", F.posexplode(F.arrow_udf(_repaired, "array<string>")("html", "title", "book", "heads", "distances", "fixes", "broken")).alias("paragraph", "text"))
