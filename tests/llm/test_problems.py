@@ -188,6 +188,22 @@ def test_blocks_give_what_one_block_gives(spark):
     assert len(whole) > 2500 and ends(spark, texts, size=256) == whole
 
 
+def test_evidence_of_other_blocks_decides(spark):
+    """What a document says in one block decides in another, before the corpus; keys have a gap wider than the context."""
+    corpus = ["Er war Abg. Dann ging er.", "Und dann? Dann schlief er.", "Ja! Anna kam. Nein! Anna ging."] * 10
+    texts = {0: "Der Abg. sprach lange.", 1: "Wir sahen heute Anna am Tor.", 40: "Dort stand Abg. Müller am Tor.", 41: "Da war … Anna in Hamburg."}
+    rows = [("s", 1, k, t) for k, t in texts.items()] + [("s", 2, k, t) for k, t in enumerate(corpus)]
+    df = spark.createDataFrame(rows, "origin string, source_id long, key int, text string")
+    whole = " ".join(texts.values())
+    expected, at = [], 0
+    for t in texts.values():
+        expected.append(at + len(t))
+        at += len(t) + 1
+    for size in (8, 1 << 20):
+        got = sorted(r["end_pos"] for r in p4_sentences.sentence_ends(df, size=size, context=2).where("source_id = 1").collect())
+        assert got == expected, [whole[a:b] for a, b in zip([0, *got], got)]
+
+
 def test_sources_without_text(spark):
     assert ends(spark, [None, " ", ""]) == [] and ends(spark, ["a"]) == [1] and ends(spark, ["x" * 100_000]) == [100_000]
     assert ends(spark, []) == []
