@@ -204,6 +204,15 @@ def test_evidence_of_other_blocks_decides(spark):
         assert got == expected, [whole[a:b] for a, b in zip([0, *got], got)]
 
 
+def test_long_tokens_are_judged_by_all_places(spark):
+    texts = ["Im Handelsregister steht die Zeitschr. Meridian seit heute.", "Dort fand er die Zeitschr. für Kunde und die Zeitschr. der Stadt.", "Der Unterabschnittsverz. Meridian lag dort.", "Er nahm das Unterabschnittsverz. und das Unterabschnittsverz. der Stadt mit.", "Der Hund schläft. Die Katze schläft. Das Kind schläft."]
+    text, at, expected = " ".join(texts), 0, []
+    for t in [*texts[:4], "Der Hund schläft.", "Die Katze schläft.", "Das Kind schläft."]:
+        expected.append(at + len(t))
+        at += len(t) + 1
+    assert (got := ends(spark, texts)) == expected, [text[a:b] for a, b in zip([0, *got], got)]
+
+
 def test_sources_without_text(spark):
     assert ends(spark, [None, " ", ""]) == [] and ends(spark, ["a"]) == [1] and ends(spark, ["x" * 100_000]) == [100_000]
     assert ends(spark, []) == []
