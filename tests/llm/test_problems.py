@@ -284,6 +284,17 @@ def test_ids_column(spark):
     assert [len(r["x"]) for r in df.withColumn("x", p7_tokens.token_ids(F.col("text"))).orderBy("doc_id").collect()] == [len(p7_tokens.encode(pa.array(["Hallo Welt"]), p7_tokens.VOCABULARY)[0]), 0]
 
 
+def test_offsets_beside_the_ids(spark):
+    texts = ["Hallo Welt", None, "", "Größe 12 – 昨天，他找到了。", "x" * 300 + " ß\n\n ende"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    rows = df.select("text", p7_tokens.token_ids(F.col("text")).alias("ids"), p7_tokens.token_ids_offsets(F.col("text")).alias("both")).orderBy("doc_id").collect()
+    back = {i: b for b, i in p7_tokens.coder(p7_tokens.VOCABULARY).ranks.items()}
+    for r in rows:
+        data = (r["text"] or "").encode()
+        cuts = [*r["both"]["offsets"], len(data)]
+        assert r["both"]["ids"] == r["ids"] and [data[a:b] for a, b in zip(cuts, cuts[1:])] == [back[i] for i in r["ids"]]
+
+
 # ---- 8
 
 

@@ -218,6 +218,29 @@ def token_count(text: Column, vocabulary: str = VOCABULARY) -> Column:
     return count_ids(text)
 
 
+def encode_with_offsets(arr, path: str):
+    """Token ids of each text, and the byte of its UTF-8 form at which each token begins."""
+    ids = encode(arr, path)
+    code = coder(path)
+    if getattr(code, "sizes", None) is None:
+        code.sizes = np.zeros(max(code.ranks.values()) + 1, np.int64)
+        for b, i in code.ranks.items():
+            code.sizes[i] = len(b)
+    flat, rows = ids.values.to_numpy(), ids.offsets.to_numpy()
+    ends = np.concatenate(([0], np.cumsum(code.sizes[flat])))
+    starts = ends[:-1] - np.repeat(ends[rows[:-1]], np.diff(rows))
+    return pa.StructArray.from_arrays([ids, pa.ListArray.from_arrays(ids.offsets, pa.array(starts.astype(np.int32)))], ["ids", "offsets"])
+
+
+def token_ids_offsets(text: Column, vocabulary: str = VOCABULARY) -> Column:
+    """Column of (ids, offsets) of a text column: as token_ids(), with the byte offset of each token in the text."""
+    @F.arrow_udf("struct<ids:array<int>,offsets:array<int>>")
+    def encode_offsets(arr: pa.Array) -> pa.Array:
+        return encode_with_offsets(arr, vocabulary)
+
+    return encode_offsets(text)
+
+
 def decode_ids(ids, path: str = VOCABULARY) -> str:
     """Text of a list of token ids."""
     back = getattr(coder(path), "back", None)
