@@ -1,45 +1,59 @@
 """Problem 9: reading level of each document.
 
-Syntax and vocabulary features are made in Arrow batches from code-point class
-arrays. A linear ranker is learned from pairs of graded documents (logistic loss
-on score differences), and isotonic regression maps its scores to grades. The
-vocabulary feature is the mean grade of a word's graded documents, shrunk to the
-mean; for the documents that the ranker learns from it is made without them.
+Words and signs of a text are found in Arrow batches from code-point class
+arrays. Two families of features come from them: vocabulary, each word's share
+in the documents of each grade, and syntax, the same for triples of a skeleton in
+which only the frequent words and the signs stay as they are. Each family says
+how likely the words or triples of a text are at each grade. A linear ranker is
+learned from pairs of graded documents (logistic loss on score differences), and
+isotonic regression maps its scores to the share of graders at or above a grade.
+
+The shares are counted on the executors, by language and by fold; copies of a
+text fall into one fold. For a document that the ranker learns from, they are
+those of the other folds. The driver gets the counts and a row of features for
+each labelled document, never texts.
 
 Only the training is bounded: at most MAX_LABELLED labelled documents, taken in
 the order of a hash of their ids. Every document gets a score over its whole text.
 
 Defined results: null, empty and wordless texts have no grade (null); grades of
 documents in other languages are extrapolated and left out of p9_found; labels
-with null grade or unknown document are ignored; without any label every grade
-is null.
+with null grade, a grade outside of the scale or an unknown document are
+ignored; without any label every grade is null.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, code_points, table, text_buffers
-from .p7_tokens import LETTER, SPACE, classes
+from .common import chunks, code_points, cut, table, text_buffers
+from .p7_tokens import LETTER, classes
 
 #: Labelled documents that the model learns from at most.
-MAX_LABELLED = 4000
+MAX_LABELLED = 20_000
 #: Pairs that the ranker learns from at most.
 MAX_PAIRS = 200_000
 CHUNK_BYTES = 2 << 20
 FOLDS = 5
-#: Documents with which the mean grade weighs in a word's grade.
-SHRINK = 2.0
 KINDS = ("chapter", "dialogue", "foreword")
 MIN_CHARS = 300
-LEVELS = (1, 2, 3, 4, 5)
+LEVELS = np.arange(1, 6)
 #: Labelled documents from which a language gets a ranker of its own.
-MIN_OWN = 150
+MIN_OWN = 80
+#: Share of a language's labelled documents from which a word is frequent and stays in the skeleton.
+FREQUENT = 0.2
+#: Occurrences that a word or triple needs to tell something.
+MIN_COUNT = 3
+#: How much of the evidence of single words or triples, which are not independent, makes the expected level.
+TEMPERS = ((1.0, 0.3), (0.5, 0.2))
 
 #: Frequent words that tell a text's language.
 LANGUAGE_WORDS = {
@@ -50,104 +64,200 @@ LANGUAGE_WORDS = {
     "it": "il gli che di è per non della sono".split(),
     "nl": "het een van en is niet dat op te zijn".split(),
 }
-#: Sentence lengths in words, and word grades relative to the mean, whose shares are features.
-LENGTHS = (5, 7, 9, 12, 16, 22)
-STEPS = (-1.5, -1.0, -0.5, 0.0, 0.5, 1.0, 1.5)
-NAMES = ("words_per_sentence", "letters_per_word", "long_words", "very_long_words", "commas_per_sentence", "semicolons_per_sentence", "word_grade", "log_words", *(f"sentences_over_{k}" for k in LENGTHS), *(f"words_graded_over_{g}" for g in STEPS))
 _LANGS = tuple(LANGUAGE_WORDS)
-
-
-def _sum(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(rows, values, n)
-
-
-def words_and_counts(data: np.ndarray, off: np.ndarray):
-    """Words of a chunk as an Arrow dictionary array (lower case), their rows, lengths, and counts of signs and sentences."""
-    n = len(off) - 1
-    cp, at = code_points(data)
-    row_start = np.zeros(len(data) + 1, bool)
-    row_start[off[:-1]] = True
-    edge = row_start[at]
-    row_of = np.searchsorted(off, at, "right") - 1
-    cls = classes()[cp]
-    letter = cls == LETTER
-    change = edge.copy()
-    change[1:] |= letter[1:] != letter[:-1]
-    starts = np.flatnonzero(change)
-    bounds = np.append(at[starts], len(data))
-    is_word = letter[starts]
-    size = np.diff(np.append(starts, len(cp)))
-    slices = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data)])
-    coded = slices.dictionary_encode()
-    word_at = np.flatnonzero(is_word)
-    # A sentence ends at a terminator before white space, a closing sign or the end, if a word in small letters does not follow.
-    end = np.isin(cp, (46, 33, 63, 0x2026, 0x3002, 0xFF01, 0xFF1F, 0x964))
-    follow = np.ones(len(cp), bool)
-    follow[:-1] = edge[1:] | (cls[1:] == SPACE) | np.isin(cp[1:], (34, 39, 0xAB, 0xBB, 0x201C, 0x201D, 0x2018, 0x2019, 0x2039, 0x203A))
-    stop = np.flatnonzero(end & follow)
-    return {
-        "coded": coded, "word_at": word_at, "row": row_of[starts[word_at]], "size": size[word_at], "start": starts[word_at], "n": n,
-        "commas": np.bincount(row_of[cp == 44], minlength=n), "semicolons": np.bincount(row_of[cp == 59], minlength=n), "stop": stop, "stop_row": row_of[stop],
-    }
-
-
-def raw_features(data: np.ndarray, off: np.ndarray, grades: dict[str, float] | None, mean: float) -> tuple[np.ndarray, list[str | None], list]:
-    """Feature matrix, language of each text, and for each text its distinct words (only without grades)."""
-    c = words_and_counts(data, off)
-    n = c["n"]
-    lower = [w.decode("utf-8").lower() for w in c["coded"].dictionary.to_pylist()]
-    code = c["coded"].indices.to_numpy(zero_copy_only=False)[c["word_at"]]
-    row, size = c["row"], c["size"]
-    words = np.maximum(1, np.bincount(row, minlength=n)).astype(float)
-    # Sentences: terminators of a text between which a word of three letters or more stands (else an abbreviation or ordinal).
-    key_stop = c["stop"]
-    before = np.searchsorted(c["start"], key_stop, "left") - 1
-    real = (before >= 0) & (len(row) > 0)
-    b = np.maximum(before, 0)
-    if len(row):
-        real &= (row[b] == c["stop_row"]) & (size[b] >= 3)
-    nth = b[real]
-    stop_row = c["stop_row"][real]
-    sentences = np.maximum(1, np.bincount(stop_row, minlength=n)).astype(float)
-    if len(nth):
-        prev = np.concatenate(([0], nth[:-1]))
-        first = np.concatenate(([True], stop_row[1:] != stop_row[:-1]))
-        row_first = np.searchsorted(row, np.arange(n), "left")
-        length = np.where(first, nth - row_first[stop_row] + 1, nth - prev)
-        long_shares = [_sum((length > k).astype(float), stop_row, n) / sentences for k in LENGTHS]
-    else:
-        long_shares = [np.zeros(n)] * len(LENGTHS)
-    if grades is None:
-        graded, hard = np.zeros(n), [np.zeros(n)] * len(STEPS)
-    else:
-        of = np.array([grades.get(w, np.nan) for w in lower])[code] if len(lower) else np.zeros(0)
-        known = ~np.isnan(of)
-        weight = np.maximum(1e-9, np.bincount(row[known], minlength=n))
-        graded = np.where(weight >= 1, _sum(of[known], row[known], n) / weight, mean)
-        hard = [_sum((of[known] > mean + g).astype(float), row[known], n) / weight for g in STEPS]
-    x = np.column_stack([
-        words / sentences, _sum(size, row, n) / words, _sum((size >= 9).astype(float), row, n) / words, _sum((size >= 13).astype(float), row, n) / words,
-        c["commas"] / sentences, c["semicolons"] / sentences, graded, np.log(words), *long_shares, *hard,
-    ])
-    x[np.bincount(row, minlength=n) == 0] = np.nan
-    votes = np.zeros((len(_LANGS), n))
-    which = {w: [k for k, lang in enumerate(_LANGS) if w in LANGUAGE_WORDS[lang]] for lang in _LANGS for w in LANGUAGE_WORDS[lang]}
-    for k in range(len(_LANGS)):
-        hit = np.array([k in which.get(w, ()) for w in lower], bool)
-        if hit.any():
-            votes[k] = np.bincount(row[hit[code]], minlength=n)
-    ascii_words = np.array([w.isascii() or any(c in "äöüßéèêàâçñáíóúœ" for c in w) for w in lower], float)[code] if len(lower) else np.zeros(0)
-    latin = _sum(ascii_words, row, n) / words
-    top = votes.argmax(0)
-    langs = [_LANGS[top[i]] if votes[top[i], i] >= 0.05 * words[i] and latin[i] > 0.5 else None for i in range(n)]
-    per_text: list = []
-    if grades is None:
-        pairs = np.unique(row * len(lower) + code) if len(lower) else np.zeros(0, np.int64)
-        per_text = [[] for _ in range(n)]
-        for p in pairs:
-            per_text[p // len(lower)].append(lower[p % len(lower)])
-        per_text = [sorted(set(p)) for p in per_text]
-    return x, langs, per_text
+#: Skeleton of words that are not frequent, and of signs in the order of their weight.
+CAPITAL, SMALL, DIGIT, FIRST = 0, 1, 2, 16
+SIGNS = (";", ".!?…。！？", ",", ":", "–—", "\"„“”»«")
+#: Skeletons have fewer symbols than this; triples of them fit into 60 bits.
+SYMBOLS = 1 << 20
+VOCABULARY, SYNTAX = 0, 1
+
+LABELLED = "text string, shares array<double>"
+
+
+def sign_of(text: str) -> int:
+    """Symbol of what stands between two words, -1 for mere blanks."""
+    if any(c.isdigit() for c in text):
+        return DIGIT
+    return next((DIGIT + 1 + k for k, signs in enumerate(SIGNS) if any(c in signs for c in text)), -1)
+
+
+class Chunk:
+    """Words and what stands between them in some texts: codes of distinct slices, and each slice's text."""
+
+    def __init__(self, data: np.ndarray, off: np.ndarray) -> None:
+        self.n = len(off) - 1
+        cp, at = code_points(data)
+        row_start = np.zeros(len(data) + 1, bool)
+        row_start[off[:-1]] = True
+        edge = row_start[at]
+        letter = classes()[cp] == LETTER
+        change = edge.copy()
+        change[1:] |= letter[1:] != letter[:-1]
+        starts = np.flatnonzero(change)
+        bounds = np.append(at[starts], len(data))
+        slices = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data)])
+        coded = slices.dictionary_encode()
+        self.said = [s.decode("utf-8", "replace") for s in coded.dictionary.to_pylist()]
+        self.low = [s.lower() for s in self.said]
+        self.code = coded.indices.to_numpy(zero_copy_only=False)
+        self.row = np.searchsorted(off, at[starts], "right") - 1
+        self.word = letter[starts]
+        self.words = np.bincount(self.row[self.word], minlength=self.n)
+
+    def languages(self) -> list[str | None]:
+        """Language of each text by its share of frequent words, None where no language has enough."""
+        known = _language_bits()
+        bits = np.fromiter((known.get(w, 0) for w in self.low), np.int64, len(self.low))
+        latin = np.fromiter((w.isascii() or any(c in "äöüßéèêàâçñáíóúœ" for c in w) for w in self.low), bool, len(self.low))
+        at, row = self.code[self.word], self.row[self.word]
+        votes = np.array([np.bincount(row[(bits[at] >> k) & 1 == 1], minlength=self.n) for k in range(len(_LANGS))])
+        own = np.bincount(row[latin[at]], minlength=self.n)
+        top = votes.argmax(0)
+        return [_LANGS[top[i]] if votes[top[i], i] >= 0.05 * self.words[i] and own[i] > 0.5 * self.words[i] else None for i in range(self.n)]
+
+    def keys(self, frequent: dict[str, int]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(keys, rows) of the words, and of the triples of the skeleton."""
+        is_word = np.zeros(len(self.said), bool)
+        is_word[self.code[self.word]] = True
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) >> 1 if a else 0 for w, a in zip(self.low, is_word)), np.int64, len(self.low))
+        symbol = np.fromiter(
+            ((frequent[w] if w in frequent else CAPITAL if s[0].isupper() else SMALL) if a else sign_of(s) for s, w, a in zip(self.said, self.low, is_word)), np.int64, len(self.low)
+        )
+        s, r = symbol[self.code], self.row
+        s, r = s[s >= 0], r[s >= 0]
+        one_text = r[2:] == r[:-2]
+        triples = ((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:])[one_text]
+        return [(hashes[self.code[self.word]], self.row[self.word]), (triples, r[2:][one_text])]
+
+
+@cache
+def _language_bits() -> dict[str, int]:
+    bits: dict[str, int] = defaultdict(int)
+    for k, words in enumerate(LANGUAGE_WORDS.values()):
+        for w in words:
+            bits[w] |= 1 << k
+    return dict(bits)
+
+
+def texts_of(arr) -> Iterator[tuple[int, int, Chunk]]:
+    """Ranges of rows of an Arrow string array, with their words."""
+    off, data = text_buffers(arr)
+    for i, j in chunks(off, CHUNK_BYTES):
+        yield i, j, Chunk(data[off[i] : off[j]], off[i : j + 1] - off[i])
+
+
+def fold_of(text: str) -> int:
+    """Fold of a text by its letters, so that copies in other formatting share it."""
+    return xxhash.xxh3_64_intdigest("".join(c for c in text.lower() if c.isalpha())) % FOLDS
+
+
+def frequent_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, word, n): in how many texts of a batch each word occurs; the empty word stands for all texts of the language."""
+    for b in batches:
+        seen: dict[tuple[str, str], int] = defaultdict(int)
+        for _, _, c in texts_of(b.column("text")):
+            langs = [lang or "" for lang in c.languages()]
+            for lang in langs:
+                seen[lang, ""] += 1
+            if len(c.low):
+                first = {}
+                same = np.fromiter((first.setdefault(w, k) for k, w in enumerate(c.low)), np.int64, len(c.low))
+                for p in np.unique(c.row[c.word] * len(c.low) + same[c.code[c.word]]):
+                    seen[langs[p // len(c.low)], c.low[p % len(c.low)]] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["lang", "word", "n"])
+
+
+COUNTS = "lang string, family int, key long, fold int, " + ", ".join(f"g{k} double" for k in LEVELS)
+
+
+def count_keys(frequent: dict[str, int]) -> Callable:
+    """Counts of words and triples by language, fold and grade, added up within each batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shares = np.array(b.column("shares").to_pylist(), float).reshape(-1, len(LEVELS))
+            folds = np.fromiter(map(fold_of, b.column("text").to_pylist()), np.int64, b.num_rows)
+            for i, j, c in texts_of(b.column("text")):
+                langs = np.array([lang or "" for lang in c.languages()], object)
+                for lang in sorted(set(langs)):
+                    for family, (key, row) in enumerate(c.keys(frequent)):
+                        mine = (langs == lang)[row]
+                        pairs, at = np.unique(np.stack([key[mine], folds[i:j][row[mine]]]), axis=1, return_inverse=True)
+                        sums = [pa.array(np.bincount(at.ravel(), shares[i:j][row[mine], k], pairs.shape[1]).astype(float)) for k in range(len(LEVELS))]
+                        n = pairs.shape[1]
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array(np.full(n, family, np.int32)), pa.array(pairs[0]), pa.array(pairs[1].astype(np.int32)), *sums], names=["lang", "family", "key", "fold", *(f"g{k}" for k in LEVELS)])
+
+    return run
+
+
+class Shares:
+    """How much likelier each word or triple of a language is at each grade than over all, for all folds and without each one."""
+
+    def __init__(self, key: np.ndarray, fold: np.ndarray, counts: np.ndarray) -> None:
+        """key, fold and counts by grade of each row."""
+        self.keys, at = np.unique(key, return_inverse=True)
+        by_fold = np.zeros((FOLDS, len(self.keys), len(LEVELS)))
+        np.add.at(by_fold, (fold, at), counts)
+        whole = by_fold.sum(0)
+        self.tables = [self._ratios(whole - by_fold[f]) for f in range(FOLDS)] + [self._ratios(whole)]
+
+    @staticmethod
+    def _ratios(counts: np.ndarray) -> np.ndarray:
+        by_key, by_grade = counts.sum(1), counts.sum(0)
+        total = max(1.0, by_key.sum())
+        made = np.log(counts / np.maximum(by_grade, 1e-9) + 1 / total) - np.log((by_key + 1) / total)[:, None]
+        made[by_key < MIN_COUNT] = 0
+        return made.astype(np.float32)
+
+    def features(self, key: np.ndarray, row: np.ndarray, n: int, fold: np.ndarray | None, prior: np.ndarray, tempers: tuple[float, ...]) -> np.ndarray:
+        """For each of n texts the mean ratios, and the expected level at each temper; fold: the one that each text is left out with."""
+        if not len(self.keys):
+            at, known = np.zeros(0, np.int64), np.zeros(len(key), bool)
+        else:
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            known = self.keys[at] == key
+            at = at[known]
+        row = row[known]
+        if fold is None:
+            got = self.tables[FOLDS][at]
+        else:
+            got = np.stack(self.tables)[fold[row], at]
+        sums = np.column_stack([np.bincount(row, got[:, k], n).astype(float) for k in range(len(LEVELS))])
+        telling = np.bincount(row[(got != 0).any(1)], minlength=n)[:, None]
+        out = [sums / np.maximum(1, telling)]
+        for t in tempers:
+            z = t * sums + np.log(prior)
+            z = np.exp(z - z.max(1, keepdims=True))
+            out.append((z @ LEVELS / z.sum(1))[:, None])
+        return np.hstack(out)
+
+
+class Evidence:
+    """Frequent words, and the shares by language; "" stands for all languages together."""
+
+    def __init__(self, frequent: dict[str, int], lang: np.ndarray, family: np.ndarray, key: np.ndarray, fold: np.ndarray, counts: np.ndarray, sizes: dict[str, int]) -> None:
+        self.frequent = frequent
+        self.prior = {}
+        self.shares = {}
+        for name in ("", *(la for la, n in sizes.items() if la and n >= MIN_OWN)):
+            mine = (lang == name) if name else np.ones(len(lang), bool)
+            self.shares[name] = [Shares(key[at], fold[at], counts[at]) for at in (mine & (family == f) for f in (VOCABULARY, SYNTAX))]
+            # Triples stand for texts by their length; that is near enough for a prior.
+            by_grade = counts[mine & (family == SYNTAX)].sum(0) + 1
+            self.prior[name] = by_grade / by_grade.sum()
+
+    def names(self, langs: list[str | None]) -> np.ndarray:
+        return np.array([lang if lang in self.shares else "" for lang in langs], object)
+
+    def features(self, c: Chunk, langs: list[str | None], folds: np.ndarray | None, every: bool = False) -> dict[str, np.ndarray]:
+        """For each name of shares the features of the texts that go by it, or of every text."""
+        keys, names, out = c.keys(self.frequent), self.names(langs), {}
+        for name in self.shares if every else sorted(set(names)):
+            pick = np.ones(c.n, bool) if every else names == name
+            parts = [s.features(k[pick[r]], r[pick[r]], c.n, folds, self.prior[name], t) for s, (k, r), t in zip(self.shares[name], keys, TEMPERS)]
+            out[name] = np.hstack(parts)
+        return out
 
 
 def learn_ranker(x: np.ndarray, grade: np.ndarray, max_pairs: int = MAX_PAIRS, ridge: float = 1e-3) -> np.ndarray:
@@ -184,93 +294,96 @@ def isotonic(score: np.ndarray, grade: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.array([b[2] / b[1] for b in blocks]), np.array([b[0] / b[1] for b in blocks])
 
 
-def word_grades(words: list[list[str]], grade: np.ndarray, mean: float, shrink: float = SHRINK) -> dict[str, float]:
-    total: dict[str, float] = defaultdict(float)
-    count: dict[str, int] = defaultdict(int)
-    for ws, g in zip(words, grade):
-        for w in ws:
-            total[w] += g
-            count[w] += 1
-    return {w: (total[w] + shrink * mean) / (count[w] + shrink) for w in total if count[w] > 1}
-
-
 class Model:
-    """One ranker and calibration for each language, with a common one for the rest."""
-
-    def __init__(self, rows: list[tuple[str | None, str, list[str], float]]) -> None:
-        """rows: language, text, words and grade of each labelled document."""
-        grade = np.array([r[3] for r in rows])
-        self.mean = float(grade.mean())
-        fold = np.arange(len(rows)) % FOLDS
-        x = np.full((len(rows), len(NAMES)), np.nan)
-        for f in range(min(FOLDS, len(rows))):
-            others = [k for k in range(len(rows)) if fold[k] != f]
-            grades = word_grades([rows[k][2] for k in others], grade[others], self.mean)
-            mine = np.flatnonzero(fold == f)
-            off, data = text_buffers(pa.array([rows[k][1] for k in mine]))
-            x[mine] = raw_features(data, off, grades, self.mean)[0]
-        self.grades = word_grades([r[2] for r in rows], grade, self.mean)
-        ok = ~np.isnan(x).any(1)
-        self.center, self.scale = x[ok].mean(0), x[ok].std(0) + 1e-9
-        z = (x - self.center) / self.scale
-        lang = np.array([r[0] or "" for r in rows])
-        self.parts = {}
-        for name in ("", "de", "en"):
-            at = np.flatnonzero(ok & ((lang == name) if name else True))
-            if name and (len(at) < MIN_OWN or len(np.unique(grade[at])) < 3):
-                continue
-            w = learn_ranker(z[at], grade[at])
-            # For each level from 2 on: how likely, at a score, graders put a document at that level or above.
-            self.parts[name] = (w, [isotonic(z[at] @ w, (grade[at] >= k - 0.5).astype(float)) for k in LEVELS[1:]])
-
-    def predict(self, x: np.ndarray, langs: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Evidence, and a ranker with its calibration for each of its languages and for all together."""
+
+    def __init__(self, evidence: Evidence, features: dict[str, np.ndarray], names: np.ndarray, shares: np.ndarray) -> None:
+        """features: of every labelled document by each name; names: which of them it goes by; shares: of its graders by grade."""
+        self.evidence, self.parts = evidence, {}
+        grade = shares @ LEVELS
+        for name, x in features.items():
+            mine = np.flatnonzero(names == name) if name else np.arange(len(names))
+            center, scale = x[mine].mean(0), x[mine].std(0) + 1e-9
+            w = learn_ranker((x[mine] - center) / scale, grade[mine]) / scale
+            score = (x[mine] - center) @ w
+            self.parts[name] = (center, w, [isotonic(score, shares[mine][:, LEVELS >= k].sum(1)) for k in LEVELS[1:]])
+
+    def predict(self, c: Chunk, langs: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Expected level (nan where there is no word) and grade: the highest level that is likelier reached than not."""
-        z = (x - self.center) / self.scale
-        level, grade = np.full(len(x), np.nan), np.ones(len(x), np.int32)
-        names = np.array([lang if lang in self.parts else "" for lang in langs])
-        for name, (w, steps) in self.parts.items():
-            at = np.flatnonzero((names == name) & ~np.isnan(z).any(1))
-            score = z[at] @ w
+        level, grade = np.full(c.n, np.nan), np.ones(c.n, np.int32)
+        names = self.evidence.names(langs)
+        for name, x in self.evidence.features(c, langs, None).items():
+            center, w, steps = self.parts[name]
+            at = np.flatnonzero((names == name) & (c.words > 0))
+            score = (x[at] - center) @ w
             reached = np.array([np.interp(score, s, g) for s, g in steps])
             level[at] = LEVELS[0] + reached.sum(0)
             grade[at] = LEVELS[0] + (reached >= 0.5).sum(0)
         return level, grade
 
 
-def labelled(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> list[tuple[str | None, str, list[str], float]]:
-    """Language, text, distinct words and mean grade of at most `most` labelled documents, by the hash of their ids."""
-    marks = labels.where("grade is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("grade").alias("grade")).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(most)
-    rows = docs.where("text is not null").join(F.broadcast(marks), "doc_id").orderBy("h", "doc_id").select("text", "grade").collect()
-    if not rows:
-        return []
-    off, data = text_buffers(pa.array([r["text"] for r in rows]))
-    out = []
-    for i, j in chunks(off, CHUNK_BYTES):
-        _, langs, words = raw_features(data[off[i] : off[j]], off[i : j + 1] - off[i], None, 0.0)
-        out += [(langs[k - i], rows[k]["text"], words[k - i], float(rows[k]["grade"])) for k in range(i, j)]
-    return out
-
-
-def read_levels(docs: DataFrame, text: str, rows: list) -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
+    """(text, shares of its graders by grade) of at most `most` labelled documents with a text, by the hash of their ids."""
+    valid = labels.where(f"doc_id is not null and grade between {LEVELS[0]} and {LEVELS[-1]}")
+    shares = F.array(*[F.avg((F.col("grade") == int(k)).cast("double")) for k in LEVELS])
+    marks = valid.groupBy("doc_id").agg(shares.alias("shares")).withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(most).drop("_h")
+    return docs.where("text <> ''").select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("text", "shares")
+
+
+def learn(known: DataFrame) -> Model | None:
+    """Model of labelled documents (text, shares); None if there is none with a word."""
+    spark = known.sparkSession
+    known = cut(known)
+    in_texts = known.select("text").mapInArrow(frequent_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    in_texts = cut(in_texts)
+    sizes = {r["lang"]: r["n"] for r in in_texts.where("word = ''").collect()}
+    if not sizes:
+        return None
+    least = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, FREQUENT * n)])
+    # Words in a fifth of the texts: no more than five times the distinct words of a text.
+    words = sorted({r["word"] for r in in_texts.where((F.col("word") != "") & (F.col("n") >= F.element_at(least, F.col("lang")))).select("word").collect()})
+    frequent = {w: FIRST + k for k, w in enumerate(words)}
+    grades = [f"g{k}" for k in LEVELS]
+    counts = known.mapInArrow(count_keys(frequent), COUNTS).groupBy("lang", "family", "key", "fold").agg(*[F.sum(g).alias(g) for g in grades])
+    telling = F.sum(sum((F.col(g) for g in grades[1:]), F.col(grades[0])))
+    by_key = counts.groupBy("lang", "family", "key").agg(telling.alias("n"), F.collect_list(F.struct("fold", *grades)).alias("of")).where(F.col("n") >= MIN_COUNT)
+    got = by_key.select("lang", "family", "key", F.explode("of").alias("o")).select("lang", "family", "key", "o.*").toArrow()
+    lang, family, key, fold = (got.column(c).to_numpy() for c in ("lang", "family", "key", "fold"))
+    evidence = Evidence(frequent, lang, family, key, fold, np.column_stack([got.column(g).to_numpy() for g in grades]), sizes)
+    shipped = spark.sparkContext.broadcast(evidence)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            folds = np.fromiter(map(fold_of, b.column("text").to_pylist()), np.int64, b.num_rows)
+            for i, j, c in texts_of(b.column("text")):
+                langs = c.languages()
+                x = shipped.value.features(c, langs, folds[i:j], every=True)
+                rows = [{"name": name, "words": int(n), "shares": s, "x": [x[k][r].tolist() for k in x]} for r, (name, n, s) in enumerate(zip(shipped.value.names(langs), c.words, b.column("shares").slice(i, j - i).to_pylist()))]
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([("name", pa.string()), ("words", pa.int64()), ("shares", pa.list_(pa.float64())), ("x", pa.list_(pa.list_(pa.float64())))]))
+
+    rows = known.mapInArrow(run, "name string, words long, shares array<double>, x array<array<double>>").where("words > 0").toArrow()
+    if not rows.num_rows:
+        return None
+    x = np.array(rows.column("x").to_pylist())
+    return Model(evidence, {name: x[:, k] for k, name in enumerate(evidence.shares)}, np.array(rows.column("name").to_pylist(), object), np.array(rows.column("shares").to_pylist()))
+
+
+def read_levels(docs: DataFrame, text: str, model: Model | None) -> DataFrame:
     """Adds reading: struct<lang, level (not rounded), grade> to documents."""
-    model = Model(rows) if rows else None
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.struct([("lang", pa.string()), ("level", pa.float64()), ("grade", pa.int32())])
 
     @F.arrow_udf("struct<lang:string,level:double,grade:int>")
     def level(arr: pa.Array) -> pa.Array:
-        off, data = text_buffers(arr)
         langs: list[str | None] = []
-        levels, grades = [], []
-        m = shipped.value
-        for i, j in chunks(off, CHUNK_BYTES):
-            x, lang, _ = raw_features(data[off[i] : off[j]], off[i : j + 1] - off[i], m.grades if m else {}, m.mean if m else 0.0)
+        levels, grades = [np.zeros(0)], [np.zeros(0, np.int32)]
+        for i, j, c in texts_of(arr):
+            lang = c.languages()
+            got, grade = shipped.value.predict(c, lang) if shipped.value else (np.full(j - i, np.nan), np.ones(j - i, np.int32))
             langs += lang
-            got, grade = m.predict(x, lang) if m else (np.full(j - i, np.nan), np.ones(j - i, np.int32))
             levels.append(got)
             grades.append(grade)
-        got = np.concatenate(levels) if levels else np.zeros(0)
-        grade = np.concatenate(grades) if grades else np.zeros(0, np.int32)
+        got, grade = np.concatenate(levels), np.concatenate(grades)
         missing = np.isnan(got)
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(got, pa.float64(), mask=missing), pa.array(grade, pa.int32(), mask=missing)], fields=list(kind))
 
@@ -278,8 +391,7 @@ def read_levels(docs: DataFrame, text: str, rows: list) -> DataFrame:
 
 
 def _levels(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = labelled(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "reading_labels"))
-    return read_levels(docs, "text", rows)
+    return read_levels(docs, "text", learn(labelled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
