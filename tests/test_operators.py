@@ -1,4 +1,6 @@
+import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -208,17 +210,152 @@ def test_each_distinct_sentence_is_asked_once(spark):
     rows = spark.createDataFrame([("Ein Hund.",), ("Ein Hund.",), ("Ein Rad.",), (None,)], "t string")
     done = spark.createDataFrame([("Ein Rad.",)], "text string")
     got = ex.ask_words(rows, "t", ex.token_extractor, done).collect()
-    assert [(r["text"], [w["lemma"] for w in r["words"]]) for r in got] == [("Ein Hund.", ["Ein", "Hund"])]
+    assert [(r["text"], [w["lemma"] for w in r["words"]], r["error"]) for r in got] == [("Ein Hund.", ["Ein", "Hund"], None)]
+    assert ex.ask_words(rows.limit(0), "t", ex.token_extractor).count() == 0
 
 
-def test_rate_limit():
-    now, slept = [0.0], []
-    limit = ex.RateLimit(2, lambda: now[0], lambda s: (slept.append(s), now.__setitem__(0, now[0] + s)))
-    for _ in range(3):
-        limit.acquire()
-    assert slept == [60.0]
+def test_starts_keep_the_rate_in_any_window():
+    s = ex.Starts(2)
+    assert [s.next_time(t) for t in (0.0, 0.0, 1.0, 1.0, 70.0, 200.0)] == [0.0, 0.0, 60.0, 60.0, 120.0, 200.0]
+    rnd = random.Random(3)
+    s, now, given = ex.Starts(5), 0.0, []
+    for _ in range(200):
+        now += rnd.choice([0, 0, 1, 30])
+        given.append(s.next_time(now))
+    assert given == sorted(given) and all(b - a >= 60 for a, b in zip(given, given[5:]))
     with pytest.raises(ValueError):
-        ex.RateLimit(0)
+        ex.Starts(0)
+
+
+def test_at_most_so_many_at_a_time_and_none_after_an_error():
+    import threading
+    import time
+
+    now, most, lock = [0], [0], threading.Lock()
+
+    def work(n):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        time.sleep(0.01)
+        with lock:
+            now[0] -= 1
+        if n == 12:
+            raise ValueError("no")
+        return n
+
+    got = list(ex.in_flight(iter(range(100)), work, 4))
+    assert 1 < most[0] <= 4 and len(got) < 20 and [str(e) for *_, e in got if e] == ["no"]
+    assert [u for u, *_ in ex.in_flight(iter(range(100)), work, 1)] == list(range(13))
+
+
+class Model:
+    """A server of chat requests that counts, is busy now and then, and gives a bad answer to one text."""
+
+    def __init__(self, bad="none"):
+        import http.server
+        import threading
+        import time
+
+        self.times, self.bodies, outer = [], [], self
+
+        class Handler(http.server.BaseHTTPRequestHandler):
+            def do_POST(self):  # noqa: N802
+                body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+                outer.times.append(time.monotonic())
+                outer.bodies.append((body, self.headers["Authorization"]))
+                text = body["messages"][-1]["content"]
+                busy = len(outer.times) % 7 == 3
+                words = {"words": 1} if bad in text else {"words": [{"lemma": w.strip("."), "word_type": "noun", "article": None} for w in text.split()]}
+                said = json.dumps({"choices": [{"message": {"content": json.dumps(words)}}]}).encode()
+                self.send_response(429 if busy else 200)
+                self.send_header("Retry-After", "0")
+                self.end_headers()
+                self.wfile.write(b"slow down" if busy else said)
+
+            def log_message(self, *a):
+                pass
+
+        self.server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+        self.url = f"http://127.0.0.1:{self.server.server_port}/v1/chat/completions"
+
+
+def test_requests_keep_the_rate_over_batches_and_are_tried_again(spark, monkeypatch):
+    from wortsee import cli
+    from wortsee.operators import prompts
+
+    model = Model()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = spark.createDataFrame([(f"Satz {i}.",) for i in range(18)], "t string")
+        ask = ex.chat_extractor(ex.with_retries(cli.post(model.url)), "m", prompts.WORDS, prompts.WORDS_FORMAT)
+        got = ex.ask_words(rows, "t", ask, pace=ex.Pace(8, 3, 1, name="rate test", window=1.0)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        model.server.shutdown()
+    assert len(got) == 18 and all(r["error"] is None and r["words"][0]["lemma"] == "Satz" for r in got)
+    body, key = model.bodies[0]
+    assert body["messages"][0] == {"role": "system", "content": prompts.WORDS} and body["response_format"]["json_schema"]["strict"] and key.startswith("Bearer")
+    assert len(model.times) > 18 and model.times[-1] - model.times[0] >= 2 - 0.2  # 18 starts at 8 in a second
+    with pytest.raises(ValueError, match="spread"):
+        ex.ask_words(rows, "t", ask, pace=ex.Pace(2, 1, 4))
+
+
+def test_a_bad_answer_loses_no_other(spark, tmp_path):
+    model, journal = Model("Satz 9."), tmp_path / "x.jsonl"
+    from wortsee import cli
+
+    rows = spark.createDataFrame([(f"Satz {i}.",) for i in range(12)], "t string")
+    ask = ex.chat_extractor(ex.with_retries(cli.post(model.url)), "m", "", {})
+    got = ex.ask_words(rows, "t", ask, pace=ex.Pace(None, 2, 1, str(journal))).collect()
+    model.server.shutdown()
+    good = {r["text"] for r in got if r["error"] is None}
+    assert [r["text"] for r in got if r["error"]] == ["Satz 9."] and {json.loads(x)["text"] for x in journal.read_text().splitlines()} == good
+
+
+def test_documents_are_judged_part_by_part(spark, tmp_path):
+    asked = []
+
+    def judge(text, what):
+        with open(tmp_path / "asked", "a") as f:
+            f.write(what + "\n")
+        return {"kind": "chapter" if "b" in text.partition("\n\n")[2] else "toc", "is_content": "b" in text.partition("\n\n")[2], "sentences": [text.partition("\n\n")[2]]}
+
+    rows = spark.createDataFrame([(0, "x.html", ["a", "b1", "b2"]), (1, "y.html", ["c"]), (2, "z.html", [])], "n int, h string, parts array<string>")
+    got = {r["href"]: (r["kind"], r["is_content"], r["sentences"]) for r in ex.ask_documents(rows, "h", "n", "parts", judge, ex.Pace(None, 2, 1, str(tmp_path / "j"))).collect()}
+    assert got == {"x.html": ("chapter", True, ["b1", "b2"]), "y.html": ("toc", False, []), "z.html": ("other", False, [])}
+    asked = (tmp_path / "asked").read_text().splitlines()
+    assert [a for a in asked if "x.html" in a] == [f"chapter 0 (x.html), part {k} of 3" for k in (1, 2, 3)] and "chapter 1 (y.html)" in asked
+    assert len((tmp_path / "j").read_text().splitlines()) == 3
+
+
+def test_ordinals_are_put_together_over_blocks(spark):
+    rnd = random.Random(5)
+    rows = [(g, p, rnd.choice(["Am 3.", "Mai 4.", "Das war 12.", "Ende.", "", None, "So 123."])) for g in (1, 2, None) for p in rnd.sample(range(-20, 200), 90)]
+    df = spark.createDataFrame(rows, "g int, pos int, text string").withColumn("x", F.lit(1))
+    expected = {}
+    for g in (1, 2, None):
+        merged, last = [], ""
+        for p, t in sorted(((p, t) for a, p, t in rows if a == g), key=lambda r: r[0]):
+            if merged and re.search(r"(^|\s)\d{1,2}\.$", last or ""):
+                merged[-1][1].append(t)
+            else:
+                merged.append((p, [t]))
+            last = t
+        expected |= {(g, p): " ".join(t for t in ts if t is not None) for p, ts in merged}
+    for block in (1, 3, 1000):
+        got = {(r["g"], r["pos"]): r["text"] for r in se.merge_ordinals(df, ["g"], "pos", "text", block).collect()}
+        assert got == expected, block
+    assert se.merge_ordinals(df.limit(0), ["g"], "pos", "text").count() == 0
+
+
+def test_examples_as_rows_and_counts(spark):
+    rows = spark.createDataFrame([(i, t, 1, [("Hund", "noun", None)]) for i, t in enumerate(["b", "a", "b", None])], f"ord long, text string, count long, words {WORDS}")
+    words = wl.explode_words(rows, [])
+    assert [(r["text"], r["at"]["s_ord"]) for r in wl.example_rows(words, []).orderBy("at").collect()] == [("b", 0), ("a", 1)]
+    r = wl.build(words, [], examples="count").first()
+    assert (r["count"], r["n_sentences"]) == (4, 2)
 
 
 def test_dedup_within_a_sentence(spark):

@@ -6,8 +6,10 @@ import zipfile
 import pytest
 
 from wortsee import cli
+from wortsee.errors import BadInput
 from wortsee.functions.markup import decode
-from wortsee.operators.extract import token_extractor
+from wortsee.operators.extract import Pace, token_extractor
+from wortsee.operators.validation import AnswerError
 from wortsee.plans import stages
 from wortsee.sources import artifacts as art
 from wortsee.sources import audio, epub, jsonl, known_api
@@ -149,24 +151,19 @@ def test_audio(spark, tmp_path):
     assert audio.pick_device("cuda") == ("cuda", "float16") and audio.pick_device("auto", lambda: 1) == ("cuda", "float16") and audio.pick_device("auto", lambda: 0) == ("cpu", "int8")
     assert audio.pick_backend("auto", "darwin", "arm64", lambda m: True) == "mlx" and audio.pick_backend("auto", "linux") == "faster-whisper" and audio.pick_backend("mlx") == "mlx"
     assert audio.mlx_repository("a/b") == "a/b" and audio.mlx_repository("tiny").endswith("whisper-tiny-mlx")
-    assert audio.format_progress(900, 9000, 600) == "10.0% (900/9000 s of audio, 1.50x realtime, ~90 min left)" and "ETA unknown" in audio.format_progress(0, 10, 0)
-    got = audio.recognise(spark.createDataFrame([("f",)], "path string"), "path", lambda p: iter([(0, 0.123, 2.675, " Hallo ")])).collect()
+    assert audio.progress_line(900, 9000, 600) == "10.0% (900/9000 s of audio, 1.50x realtime, ~90 min left)" and "ETA unknown" in audio.progress_line(0, 10, 0)
+    got = audio.recognise(spark.createDataFrame([("f",)], "path string"), "path", lambda p: audio.Heard([(0, 0.123, 2.675, " Hallo ")])).collect()
     assert [tuple(r) for r in got] == [("f", 0, 0.12, 2.67, "Hallo")]
 
 
 def test_a_film_from_speech_to_list(spark, tmp_path):
     (tmp_path / "f.flac").write_text("x")
-    t = stages.transcript(tmp_path / "f.flac", tmp_path / "t.json", lambda p: iter([(0, 0, 1, " Der Hund "), (1, 1, 2, ""), (2, 2, 3, "bellt. Der Hund bellt. Am 3. Mai.")]), {"model": "m"})
-    assert t["duration"] == 3
+    heard = [(0, 0, 1, " Der Hund "), (1, 1, 2, ""), (2, 2, 3, "bellt. Der Hund bellt. Am 3. Mai.")]
+    t = stages.speech(tmp_path / "f.flac", tmp_path / "t.json", lambda p: audio.Heard(iter(heard), 4.125, "nl", "b", "cpu", "int8"), "m")
+    assert [t[k] for k in ("duration", "language", "backend", "device", "compute_type", "model", "text")] == [4.12, "nl", "b", "cpu", "int8", "m", "Der Hund  bellt. Der Hund bellt. Am 3. Mai."]
+    assert stages.speech(tmp_path / "f.flac", tmp_path / "t2.json", lambda p: audio.Heard(iter(heard)), "m")["duration"] == 3
     s = stages.sentences(spark, tmp_path / "t.json", tmp_path / "s.json")
     assert s["sentences"] == ["Der Hund bellt.", "Der Hund bellt.", "Am 3. Mai."]
-    calls = []
-
-    def counting(texts):
-        texts = list(texts)
-        calls.append(texts)
-        return token_extractor(texts)
-
     stages.partial(tmp_path / "w.json").write_text(json.dumps({"text": "Am 3. Mai.", "words": [{"lemma": "Mai", "word_type": "noun", "article": "der"}]}) + '\n{"text": "torn')
     w = stages.words(spark, tmp_path / "s.json", tmp_path / "w.json", token_extractor, "m")
     assert [(x["text"], x["count"]) for x in w["sentences"]] == [("Der Hund bellt.", 2), ("Am 3. Mai.", 1)] and w["sentences"][1]["words"][0]["lemma"] == "Mai"
@@ -179,19 +176,52 @@ def test_a_film_from_speech_to_list(spark, tmp_path):
         stages.sentences(spark, tmp_path / "e.json", tmp_path / "e2.json")
 
 
+def test_answers_survive_a_crash(spark, tmp_path):
+    texts = [f"Satz {i}." for i in range(9)]
+    art.write_document(tmp_path / "s.json", {"schema_version": 1, "sentences": texts})
+
+    def ask(text, what):
+        with open(tmp_path / "asked", "a") as f:
+            f.write(text + "\n")
+        if text == "Satz 5." and not (tmp_path / "well").exists():
+            raise RuntimeError("gone")
+        return token_extractor(text)
+
+    out = tmp_path / "w.json"
+    stages.partial(out).write_text(json.dumps({"text": "Satz 0.", "words": []}))  # whole, but its line is not ended
+    with pytest.raises(AnswerError, match="gone.*run the stage again"):
+        stages.words(spark, tmp_path / "s.json", out, ask, "m", pace=Pace(None, 2, 1))
+    kept = set(jsonl.word_answers(stages.partial(out)))
+    assert kept == set((tmp_path / "asked").read_text().split("\n")) - {"Satz 5.", ""} | {"Satz 0."}
+    (tmp_path / "well").touch()
+    (tmp_path / "asked").unlink()
+    w = stages.words(spark, tmp_path / "s.json", out, ask, "m", pace=Pace(None, 2, 1))
+    assert [s["text"] for s in w["sentences"]] == texts and set((tmp_path / "asked").read_text().split()) and not kept & set((tmp_path / "asked").read_text().split("\n"))
+    assert not stages.partial(out).exists()
+
+
+def test_lists_as_tables(spark, tmp_path):
+    words = lambda *ws: [{"lemma": w, "word_type": "noun", "article": None} for w in ws]
+    for n, said in (("a", [("Der Hund.", 2, words("Hund")), ("Ein Rad.", 1, words("Rad", "hund"))]), ("b", [("Der Hund.", 1, words("Hund"))])):
+        art.write_document(tmp_path / f"in/{n}.json", {"schema_version": 1, "sentences": [{"text": t, "count": c, "words": w} for t, c, w in said]})
+    stages.build_tables(spark, str(tmp_path / "in"), str(tmp_path / "out"), known=["das Rad"])
+    got = spark.read.parquet(str(tmp_path / "out/words")).collect()
+    assert sorted((r["file"][-6:], r["lemma"], r["count"], r["n_sentences"]) for r in got) == [("a.json", "Hund", 3, 2), ("b.json", "Hund", 1, 1)]
+    assert spark.read.parquet(str(tmp_path / "out/examples")).count() == 3
+
+
 def test_a_book_from_file_to_sentences(spark, tmp_path):
     (tmp_path / "b.epub").write_bytes(book())
     c = stages.book(tmp_path / "b.epub", tmp_path / "c.json")
     assert (c["total_chapters"], c["char_count"], c["title"]) == (3, 30, "Das Buch")
 
-    def judge(texts):
-        for t in texts:
-            yield json.dumps({"kind": "chapter", "is_content": True, "sentences": ["Ein  Satz."]} if "Satz" in t else {"kind": "cover", "is_content": False, "sentences": []})
+    def judge(text, what):
+        return {"kind": "chapter", "is_content": True, "sentences": ["Ein  Satz."]} if "Satz" in text else {"kind": "cover", "is_content": False, "sentences": []}
 
     s = stages.sentences(spark, tmp_path / "c.json", tmp_path / "s.json", judge, "m")
     assert s["sentences"] == ["Ein Satz."] and [x["kind"] for x in s["chapters"]] == ["cover", "chapter", "cover"]
     with pytest.raises(ValueError, match="no chapter"):
-        stages.sentences(spark, tmp_path / "c.json", tmp_path / "s2.json", lambda ts: (json.dumps({"kind": "toc", "is_content": False, "sentences": []}) for _ in ts), "m")
+        stages.sentences(spark, tmp_path / "c.json", tmp_path / "s2.json", lambda *_: {"kind": "toc", "is_content": False, "sentences": []}, "m")
 
 
 def test_command_line(tmp_path, capsys, monkeypatch):
@@ -201,7 +231,7 @@ def test_command_line(tmp_path, capsys, monkeypatch):
     assert cli.main(["epub", "b.epub", "-o", "c.json", "--chapters", "1"]) == 0 and art.read_document("c.json")["total_chapters"] == 1
     assert cli.main(["--force", "epub", "b.epub", "-o", "c.json", "--chapters", "x"]) == 1 and "--chapters" in capsys.readouterr().err
     assert cli.main(["build", "none.json"]) == 1 and "artifact not found" in capsys.readouterr().err
-    assert cli.error_line(KeyError("x")) == "KeyError: 'x'" and cli.error_line(ValueError("a")) == "a" and cli.error_line(RuntimeError()) == "RuntimeError"
+    assert cli.error_line(KeyError("x")) == "KeyError: 'x'" and cli.error_line(BadInput("a")) == "a" and cli.error_line(RuntimeError()) == "RuntimeError" and cli.error_line(ValueError("a")) == "ValueError: a"
 
 
 def test_answers_of_a_stream(spark, tmp_path):

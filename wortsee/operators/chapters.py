@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import BadInput
 from ..functions.markup import parse_document
-from ..functions.text import collapse_ws
 
 #: Code points that one request takes.
 MAX_PART = 60_000
@@ -69,9 +69,11 @@ def combine_parts(verdicts: DataFrame, key: list[str], part: str = "part") -> Da
     )
 
 
-def clean_sentences(sentences: Column) -> Column:
-    """White space collapsed, empty sentences left out."""
-    return F.filter(F.transform(sentences, collapse_ws), lambda s: s != "")
+def combined(parts: list[tuple[str, bool, list[str]]]) -> tuple[str, bool, list[str]]:
+    """combine_parts() for the verdicts on one document's parts, in order."""
+    content = [p for p in parts if p[1]]
+    kind = next((p[0] for p in [*content, *parts]), "other")
+    return kind, bool(content), [s for p in content for s in p[2]]
 
 
 def content_sentences(verdicts: DataFrame, key: list[str]) -> DataFrame:
@@ -90,13 +92,13 @@ def parse_selection(spec: str) -> list[tuple[int, int]]:
     for part in filter(None, (p.strip() for p in spec.split(","))):
         m = re.fullmatch(r"\s*(\d+)\s*(?:-\s*(\d+)\s*)?", part)
         if not m:
-            raise ValueError(f"invalid --chapters value {part!r}: a number or a range of two is expected")
+            raise BadInput(f"invalid --chapters value {part!r}: a number or a range of two is expected")
         first, last = int(m[1]), int(m[2] or m[1])
         if last < first:
-            raise ValueError(f"invalid --chapters range {part!r}: it runs backwards")
+            raise BadInput(f"invalid --chapters range {part!r}: it runs backwards")
         ranges.append((first, last))
     if not ranges:
-        raise ValueError("--chapters selected nothing")
+        raise BadInput("--chapters selected nothing")
     return ranges
 
 

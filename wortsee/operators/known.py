@@ -61,6 +61,3 @@ def drop_known(words: DataFrame, lemma: str, known_keys: DataFrame) -> DataFrame
     k = known_keys.select(F.col("key").alias("_key")).distinct()
     return w.join(k, "_key", "left_anti").drop("_key")
 
-
-def is_known(lemma: Column, one_set: Column) -> Column:
-    return F.array_contains(one_set, normalize_word(lemma))

@@ -6,6 +6,8 @@ Order is data: every operator takes and gives explicit positions.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,6 +16,8 @@ from pyspark.sql.window import Window
 
 from ..functions.text import collapse_ws, strip_ws
 
+#: Positions of a group that are worked on together.
+BLOCK = 4096
 #: A sentence that ends in a number of one or two digits and a full stop.
 ORDINAL_END = r"(^|[\s\x{85}\x{A0}\x{2028}\x{2029}])\p{Nd}{1,2}\.$"
 #: German abbreviations of the rule profile, with escaped full stops.
@@ -35,19 +39,35 @@ def join_segments(segments: DataFrame, group: list[str], order: str, text: str)
     return stripped.groupBy(*group).agg(F.array_join(F.transform(pairs, lambda x: x["t"]), " ").alias("text"))
 
 
-def merge_ordinals(sentences: DataFrame, group: list[str], pos: str, text: str) -> DataFrame:
+def merge_ordinals(sentences: DataFrame, group: list[str], pos: str, text: str, block: int = BLOCK) -> DataFrame:
     """Puts back together what was split after an ordinal number, for any chain of such splits.
 
-    The first position of a chain is its position. A running sum over flags
-    finds the chains, so nothing but one sort by group and position is needed.
+    The first position of a chain is its position. Only the sentence before
+    decides whether one goes on, as a merged one ends as its last part does; so
+    a group is worked on in blocks of positions, each told by a short table of
+    the blocks how the one before it ends and which chain is open there. A group
+    of any length is spread; a single chain is one value. A null text ends in no
+    number; rows that share a position are taken as parts of one chain.
     """
-    w = Window.partitionBy(*group).orderBy(pos)
-    # Only the sentence before decides: a merged one ends as its last part does.
-    begins = F.when(F.lag(text).over(w).rlike(ORDINAL_END), 0).otherwise(1)
-    chained = sentences.withColumn("_b", begins).withColumn("_chain", F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    at = [*group, "_block"]
+    rows = sentences.withColumn("_block", F.floor(F.col(pos) / block)).withColumn("_goes_on", F.coalesce(F.col(text).rlike(ORDINAL_END), F.lit(False)))
+    within = Window.partitionBy(*at).orderBy(pos)
+    # 1: begins a chain, 0: goes on, null: the block's first row, which only the block before can tell.
+    begins = F.when(F.lag("_goes_on").over(within), 0).when(F.lag("_goes_on").over(within).isNotNull(), 1)
+    rows = rows.withColumn("_begins", begins)
+    ends = rows.groupBy(*at).agg(F.max_by("_goes_on", pos).alias("_open"), F.max(F.when(F.col("_begins") == 1, F.col(pos))).alias("_last"), F.min(pos).alias("_first"))
+    order = Window.partitionBy(*group).orderBy("_block")
+    told = ends.withColumn("_goes_over", F.coalesce(F.lag("_open").over(order), F.lit(False)))
+    # The chain that is open where a block ends: the last one that begins in it or in a block before.
+    opens = F.coalesce(F.col("_last"), F.when(~F.col("_goes_over"), F.col("_first")))
+    before = F.last(opens, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    heads = told.select(*at, F.when(F.col("_goes_over"), before).otherwise(F.col("_first")).alias("_head"))
+    short = heads.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(at)], "_head")
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(at)))
+    begun = F.max(F.when(F.col("_begins") == 1, F.col(pos))).over(within.rowsBetween(Window.unboundedPreceding, 0))
+    chained = rows.withColumn("_begun", begun).join(short, same).withColumn("_chain", F.coalesce("_begun", "_head"))
     parts = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(text).alias("t"))))
-    merged = chained.groupBy(*group, "_chain").agg(F.min(pos).alias(pos), F.array_join(F.transform(parts, lambda x: x["t"]), " ").alias(text))
-    return merged.drop("_chain")
+    return chained.groupBy(*group, "_chain").agg(F.min(pos).alias(pos), F.array_join(F.transform(parts, lambda x: x["t"]), " ").alias(text)).drop("_chain")
 
 
 def rule_split(text: Column) -> Column:

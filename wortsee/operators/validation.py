@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 
+from ..errors import Failed
+
 ARTICLES = ("der", "die", "das")
 
 
-class AnswerError(RuntimeError):
+class AnswerError(Failed):
     """A request failed, or its answer can't be used; the message is for the user."""
 
 

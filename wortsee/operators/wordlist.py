@@ -24,34 +24,46 @@ def dedup_words(words: DataFrame, sentence: list[str]) -> DataFrame:
     return w.withColumn("_n", n).where("_n = 1").drop("_k", "_n")
 
 
-def build(words: DataFrame, group: list[str], known_keys: DataFrame | None = None, min_count: int = 1, examples: bool = True) -> DataFrame:
-    """(group, lemma, word_type, article, count, sentences): one row for each case-folded lemma and type.
-
-    lemma is the form first seen, article the first that is not null, sentences
-    the distinct texts in order of first sight. Known words leave before the
-    shuffle. Texts are made distinct in a first aggregation by (key, text), so a
-    frequent text reaches a group once; without examples only the sums shuffle.
-    Null counts count nothing; null lemmas leave.
-    """
+def _keyed(words: DataFrame, known_keys: DataFrame | None) -> DataFrame:
+    """Unknown words with the key that they are counted by; known ones leave before anything is shuffled by it."""
     w = words.where("lemma is not null")
     if known_keys is not None:
         w = drop_known(w, "lemma", known_keys)
-    w = w.withColumn("lemma_key", casefold(F.col("lemma"))).withColumn("at", F.struct("s_ord", "w_ord"))
+    return w.withColumn("lemma_key", casefold(F.col("lemma"))).withColumn("at", F.struct("s_ord", "w_ord"))
+
+
+def build(words: DataFrame, group: list[str], known_keys: DataFrame | None = None, min_count: int = 1, examples: str | None = "array") -> DataFrame:
+    """(group, lemma, word_type, article, count, ...): one row for each case-folded lemma and type.
+
+    lemma is the form first seen, article the first that is not null. examples:
+    "array" adds sentences, the distinct texts in order of first sight, which
+    puts all texts of an entry into one value and is meant for lists to export;
+    "count" adds only their number, n_sentences; None adds nothing and shuffles
+    sums only. example_rows() has the texts as rows, for entries of any size.
+    Texts are made distinct in a first aggregation by (key, text), so a frequent
+    text reaches an entry once. Null counts count nothing; null lemmas leave.
+    """
+    w = _keyed(words, known_keys)
     key = [*group, "lemma_key", "word_type"]
-    first = [
+    seen = [
         F.min_by("lemma", "at").alias("lemma"),
         F.min_by("article", F.when(F.col("article").isNotNull(), F.col("at"))).alias("article"),
         F.coalesce(F.sum("count"), F.lit(0)).alias("count"),
     ]
     if not examples:
-        return w.groupBy(*key).agg(*first).where(F.col("count") >= min_count)
-    by_text = w.groupBy(*key, "text").agg(*first, F.min(F.when(F.col("article").isNotNull(), F.col("at"))).alias("article_at"), F.min("at").alias("at"))
-    said = F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"])
-    return (
-        by_text.groupBy(*key)
-        .agg(F.min_by("lemma", "at").alias("lemma"), F.min_by("article", "article_at").alias("article"), F.sum("count").alias("count"), said.alias("sentences"))
-        .where(F.col("count") >= min_count)
-    )
+        return w.groupBy(*key).agg(*seen).where(F.col("count") >= min_count)
+    by_text = w.groupBy(*key, "text").agg(*seen, F.min(F.when(F.col("article").isNotNull(), F.col("at"))).alias("article_at"), F.min("at").alias("at"))
+    if examples == "count":
+        texts = F.count("text").alias("n_sentences")
+    else:
+        texts = F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]).alias("sentences")
+    entries = by_text.groupBy(*key).agg(F.min_by("lemma", "at").alias("lemma"), F.min_by("article", "article_at").alias("article"), F.sum("count").alias("count"), texts)
+    return entries.where(F.col("count") >= min_count)
+
+
+def example_rows(words: DataFrame, group: list[str], known_keys: DataFrame | None = None) -> DataFrame:
+    """(group, lemma_key, word_type, at, text): the distinct texts of every entry, at is where it is first seen."""
+    return _keyed(words, known_keys).where("text is not null").groupBy(*group, "lemma_key", "word_type", "text").agg(F.min("at").alias("at"))
 
 
 def order(group: list[str]) -> list[Column]:

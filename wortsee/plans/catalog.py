@@ -86,27 +86,27 @@ a as (select {group}lemma_key, word_type, arg_min(lemma, row(sw_id, w_ord)) lemm
 @query(_list_sql("where count >= 1"))
 def word_list(spark, d):
     """Known words leave, the rest is counted by source, lemma and type (examples only as their number)."""
-    made = wl.build(words_once(spark, d), ["source_id"], known_keys(spark, d))
-    return made.select("source_id", "lemma_key", "word_type", "lemma", "article", "count", F.size(F.filter("sentences", lambda s: s.isNotNull())).cast("long").alias("n_sentences"))
+    made = wl.build(words_once(spark, d), ["source_id"], known_keys(spark, d), examples="count")
+    return made.select("source_id", "lemma_key", "word_type", "lemma", "article", "count", "n_sentences")
 
 
 @query(_list_sql("where count >= 5", group=""))
 def min_count(spark, d):
     """The list of the whole collection, words seen five times or more."""
     w = words_once(spark, d).withColumnRenamed("s_ord", "_s").withColumn("s_ord", F.col("_s"))
-    made = wl.build(w, [], known_keys(spark, d), min_count=5)
-    return made.select("lemma_key", "word_type", "lemma", "article", "count", F.size(F.filter("sentences", lambda s: s.isNotNull())).cast("long").alias("n_sentences"))
+    made = wl.build(w, [], known_keys(spark, d), min_count=5, examples="count")
+    return made.select("lemma_key", "word_type", "lemma", "article", "count", "n_sentences")
 
 
 @query(f"with {_WORDS}, a as (select {_fold('lemma')} lemma_key, word_type from w where lemma is not null group by 1, 2 having sum(count) >= 1) select lemma_key, count(distinct word_type) n_types from a group by 1 having count(distinct word_type) > 1")
 def homonyms(spark, d):
-    built = wl.build(words_once(spark, d), [], examples=False)
+    built = wl.build(words_once(spark, d), [], examples=None)
     return built.groupBy("lemma_key").agg(F.countDistinct("word_type").alias("n_types")).where("n_types > 1")
 
 
 @query(f"with {_WORDS} select source_id, {_fold('lemma')} lemma_key, word_type, arg_min(article, row(sw_id, w_ord)) filter (where article is not null) article from w where lemma is not null group by 1, 2, 3 having sum(count) >= 1")
 def first_article(spark, d):
-    return wl.build(words_once(spark, d), ["source_id"], examples=False).select("source_id", "lemma_key", "word_type", "article")
+    return wl.build(words_once(spark, d), ["source_id"], examples=None).select("source_id", "lemma_key", "word_type", "article")
 
 
 @query(f"""with {_WORDS}, t as (select source_id, {_fold('lemma')} lemma_key, word_type, text, min(row(sw_id, w_ord)) o, sum(count) n from w where lemma is not null group by 1, 2, 3, 4)
@@ -196,12 +196,21 @@ def html_paragraphs(spark, d):
     return c.select("chapter_id", ch.paragraphs(F.col("html")).alias("p")).select("chapter_id", "p.title", F.posexplode("p.paragraphs").alias("n", "text"))
 
 
-@query("select chapter_id, cast(length(html) as bigint) total, false over_limit, true same from (select chapter_id, any_value(html) html from chapters group by all) where html is not null")
+# The greedy fold over blocks: a state is the parts that are done and the open one, its last element.
+_PARTS_SQL = r"""with c as (select chapter_id, any_value(html) html from chapters group by chapter_id),
+b as (select chapter_id, html, list_filter(string_split(regexp_replace(html, '<(p|div|h[1-6]|section|article)\b', chr(1) || '<\1', 'gi'), chr(1)), lambda x: x <> '') bs from c where html is not null),
+f as (select chapter_id, case when length(html) <= 4000 then [html] else list_filter(list_reduce(bs, lambda st, p: case
+ when length(st[-1]) + length(p[1]) <= 4000 then list_append(st[:-2], st[-1] || p[1])
+ else list_concat(st, list_transform(range(0, (length(p[1]) - 1) // 4000 + 1), lambda i: substring(p[1], i * 4000 + 1, 4000))) end, ['']), lambda x: x <> '') end parts
+ from (select chapter_id, html, list_transform(bs, lambda x: [x]) bs from b))
+select chapter_id, u.i - 1 part, parts[u.i] html from f, unnest(range(1, len(parts) + 1)) u(i)"""
+
+
+@query(_PARTS_SQL)
 def html_parts(spark, d):
-    """Parts of at most 4 000 code points: their lengths add up, none is too long, together they are the markup."""
-    c = delivered_once(read(spark, d, "chapters"), ["chapter_id"], "html").where("html is not null").withColumn("parts", ch.split_markup(F.col("html"), 4000))
-    total = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + F.length(p))
-    return c.select("chapter_id", total.alias("total"), F.exists("parts", lambda p: F.length(p) > 4000).alias("over_limit"), (F.array_join("parts", "") == F.col("html")).alias("same"))
+    """Parts of at most 4 000 code points, cut before blocks."""
+    c = delivered_once(read(spark, d, "chapters"), ["chapter_id"], "html").where("html is not null")
+    return c.select("chapter_id", F.posexplode(ch.split_markup(F.col("html"), 4000)).alias("part", "html")).withColumn("part", F.col("part").cast("long"))
 
 
 _CONTENT = "('chapter', 'dialogue', 'foreword')"
@@ -360,6 +369,6 @@ def document_sentences(spark, d):
 select source_id, lemma_key, word_type, count, cast(row_number() over (partition by source_id order by count desc, lemma_key, word_type) as int) place from a""")
 def list_order(spark, d):
     """The list's total order within each source, as places."""
-    made = wl.build(words_once(spark, d), ["source_id"], examples=False)
+    made = wl.build(words_once(spark, d), ["source_id"], examples=None)
     place = F.row_number().over(Window.partitionBy("source_id").orderBy(*wl.order([])))
     return made.select("source_id", "lemma_key", "word_type", "count", place.alias("place"))

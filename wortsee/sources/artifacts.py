@@ -11,11 +11,13 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import BadInput, Missing
+
 SCHEMA_VERSION = 1
 WORDS = "array<struct<lemma:string,word_type:string,article:string>>"
 #: Schemas of the artifacts' record lists; never inferred.
 RECORDS = {
-    "transcript": ("segments", "array<struct<id:int,start:double,end:double,text:string>>"),
+    "speech": ("segments", "array<struct<id:int,start:double,end:double,text:string>>"),
     "chapters": ("chapters", "array<struct<index:int,href:string,title:string,chars:bigint,html:string>>"),
     "sentences": ("sentences", "array<string>"),
     "sentence_words": ("sentences", f"array<struct<text:string,count:bigint,words:{WORDS}>>"),
@@ -43,18 +45,18 @@ def read_document(path: str | Path, version: int = SCHEMA_VERSION) -> dict:
     """One JSON document, an object of the expected version; the message of an error says what to do."""
     path, again = Path(path), "run its stage again with --force"
     if not path.exists():
-        raise FileNotFoundError(f"artifact not found: {path}; run the stage that makes it first")
+        raise Missing(f"artifact not found: {path}; run the stage that makes it first")
     data = path.read_bytes()
     try:
         payload = json.loads(data.decode("utf-8"))
     except UnicodeDecodeError as e:
-        raise ValueError(f"{path} is not UTF-8 text ({e}); {again}") from e
+        raise BadInput(f"{path} is not UTF-8 text ({e}); {again}") from e
     except ValueError as e:
-        raise ValueError(f"{path} is not valid JSON ({e if data else 'it is empty'}); {again}") from e
+        raise BadInput(f"{path} is not valid JSON ({e if data else 'it is empty'}); {again}") from e
     if not isinstance(payload, dict):
-        raise ValueError(f"{path}: expected a JSON object but found {type(payload).__name__}; {again}")
+        raise BadInput(f"{path}: expected a JSON object but found {type(payload).__name__}; {again}")
     if payload.get("schema_version") != version:
-        raise ValueError(f"{path}: schema_version {payload.get('schema_version')!r} instead of {version}; {again}")
+        raise BadInput(f"{path}: schema_version {payload.get('schema_version')!r} instead of {version}; {again}")
     return payload
 
 
@@ -63,12 +65,12 @@ def record_list(payload: dict, key: str, path: str | Path) -> list:
     if isinstance(value, list):
         return value
     found = "it is missing" if value is None else f"found a {type(value).__name__}"
-    raise ValueError(f"{path}: expected a {key!r} list, {found}; run the stage again with --force")
+    raise BadInput(f"{path}: expected a {key!r} list, {found}; run the stage again with --force")
 
 
 def _word(w) -> tuple:
     if not isinstance(w, dict) or not {"lemma", "word_type"} <= w.keys() or w.keys() - {"lemma", "word_type", "article"}:
-        raise ValueError(f"malformed word record {w!r}")
+        raise BadInput(f"malformed word record {w!r}")
     return (w["lemma"], w["word_type"], w.get("article"))
 
 
@@ -76,7 +78,7 @@ def sentence_list(payload: dict, path: str | Path = "sentences") -> list[str]:
     sentences = record_list(payload, "sentences", path)
     for s in sentences:
         if not isinstance(s, str):
-            raise ValueError(f"{path}: malformed sentence record, {s!r} is not a string; run the stage again with --force")
+            raise BadInput(f"{path}: malformed sentence record, {s!r} is not a string; run the stage again with --force")
     return sentences
 
 
@@ -87,7 +89,7 @@ def sentence_word_rows(payload: dict, path: str | Path = "sentence-words") -> li
         try:
             rows.append((i, s["text"], int(s["count"]), [_word(w) for w in s["words"]]))
         except (KeyError, TypeError, ValueError) as e:
-            raise ValueError(f"{path}: malformed sentence record ({type(e).__name__}: {e}); run the stage again with --force") from e
+            raise BadInput(f"{path}: malformed sentence record ({type(e).__name__}: {e}); run the stage again with --force") from e
     return rows
 
 

@@ -6,6 +6,7 @@ interfaces that can be replaced.
 
 from __future__ import annotations
 
+import functools
 import importlib
 import importlib.util
 import json
@@ -13,15 +14,20 @@ import logging
 import platform
 import subprocess
 import sys
-from collections.abc import Callable, Iterator
+import time
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import Failed, Missing
+
 STREAMS = "struct<streams:array<struct<codec_name:string,channels:int,tags:struct<language:string,title:string>>>>"
 SEGMENT = "id int, start double, end double, text string"
 DEFAULT_MODEL = "large-v3"
+PROGRESS_EVERY_S = 30.0
 log = logging.getLogger(__name__)
 
 
@@ -68,14 +74,14 @@ def extract(source, target, *, dry_run: bool = False, run: Callable = subprocess
     if dry_run:
         return target
     if not source.exists():
-        raise FileNotFoundError(f"input file not found: {source}")
+        raise Missing(f"input file not found: {source}")
     target.parent.mkdir(parents=True, exist_ok=True)
     try:
         run(command, check=True)
     except subprocess.CalledProcessError as e:
-        raise RuntimeError(f"the extraction failed (exit {e.returncode}); --list-tracks shows the streams and their languages") from e
+        raise Failed(f"the extraction failed (exit {e.returncode}); --list-tracks shows the streams and their languages") from e
     if not target.exists() or not target.stat().st_size:
-        raise RuntimeError(f"the extraction ended but {target} is missing or empty")
+        raise Failed(f"the extraction ended but {target} is missing or empty")
     return target
 
 
@@ -100,20 +106,45 @@ def mlx_repository(model: str) -> str:
     return model if "/" in model else f"mlx-community/whisper-{model}-mlx"
 
 
-def format_progress(done: float, total: float, elapsed: float) -> str:
-    speed = done / elapsed if elapsed > 0 else 0.0
-    left = f"~{(total - done) / speed / 60:.0f} min left" if speed > 0 and total else "ETA unknown"
-    return f"{100 * done / total if total else 0:.1f}% ({done:.0f}/{total:.0f} s of audio, {speed:.2f}x realtime, {left})"
-
-
 def progress(done: Column, total: Column, elapsed: Column) -> tuple[Column, Column, Column]:
     """Percent done, times real time, minutes left (null if unknown), natively."""
     speed = F.when(elapsed > 0, done / elapsed).otherwise(F.lit(0.0))
     return (F.when(total != 0, 100 * done / total).otherwise(F.lit(0.0)), speed, F.when((speed > 0) & (total != 0), (total - done) / speed / 60))
 
 
-#: path -> segments (id, start, end, text); runs in a Python worker and loads its model there.
-Recogniser = Callable[[str], Iterator[tuple[int, float, float, str]]]
+@dataclass
+class Heard:
+    """What a recogniser says of a file: segments (id, start, end, text) as they come, and what it ran on.
+
+    duration: seconds, None if the recogniser does not tell; then the end of the last segment stands for it.
+    """
+
+    segments: Iterable[tuple[int, float, float, str]]
+    duration: float | None = None
+    language: str | None = None
+    backend: str = "custom"
+    device: str = "cpu"
+    compute_type: str = ""
+
+    def cleaned(self, every_s: float = PROGRESS_EVERY_S, clock: Callable[[], float] = time.monotonic) -> Iterator[tuple[int, float, float, str]]:
+        """Segments with two decimals and stripped texts; what is done is logged now and then."""
+        began = said = clock()
+        for i, start, end, text in self.segments:
+            yield i, round(start, 2), round(end, 2), text.strip()
+            if (now := clock()) - said >= every_s:
+                said = now
+                log.info("%s", progress_line(end, self.duration or 0.0, now - began))
+
+
+def progress_line(done: float, total: float, elapsed: float) -> str:
+    """progress() of one file as a line."""
+    rate = done and elapsed and done / elapsed
+    rest = f"~{(total - done) / rate / 60:.0f} min left" if rate > 0 and total else "ETA unknown"
+    return "{:.1%} ({:.0f}/{:.0f} s of audio, {:.2f}x realtime, {})".format(total and done / total, done, total, rate, rest)
+
+
+#: path -> what was heard; runs in a Python worker and loads its model there, once.
+Recogniser = Callable[[str], Heard]
 
 
 def recognise(files: DataFrame, path: str, recogniser: Recogniser) -> DataFrame:
@@ -123,36 +154,40 @@ def recognise(files: DataFrame, path: str, recogniser: Recogniser) -> DataFrame:
         import pandas as pd
 
         for pdf in batches:
-            rows = [(p, i, round(a, 2), round(b, 2), t.strip()) for p in pdf[path] for i, a, b, t in recogniser(p)]
-            yield pd.DataFrame(rows, columns=["path", "id", "start", "end", "text"])
+            for p in pdf[path]:
+                yield pd.DataFrame([(p, *s) for s in recogniser(p).cleaned()], columns=["path", "id", "start", "end", "text"])
 
     return files.select(path).mapInPandas(run, f"path string, {SEGMENT}")
 
 
-def faster_whisper(model: str = DEFAULT_MODEL, device: str = "auto", language: str = "de", beam: int = 5, vad: bool = True) -> Recogniser:
-    """Recogniser on the library of that name; falls back to the CPU where a GPU can't be used."""
+@functools.cache
+def whisper_model(model: str, device: str):
+    """A loaded model with the device and number type that it really has; the CPU stands in for a GPU that can't be used."""
+    load = importlib.import_module("faster_whisper").WhisperModel
+    found: list[Exception] = []
+    for dev, kind in dict.fromkeys((pick_device(device), pick_device("cpu"))):
+        try:
+            return load(model, device=dev, compute_type=kind), dev, kind
+        except (RuntimeError, ValueError) as e:
+            found.append(e)
+            log.warning("%s can't be used: %s", dev, e)
+    raise found[-1]
 
-    def run(path: str):
-        from faster_whisper import WhisperModel
 
-        dev, kind = pick_device(device)
-        try:
-            loaded = WhisperModel(model, device=dev, compute_type=kind)
-        except (RuntimeError, ValueError):
-            if dev == "cpu":
-                raise
-            loaded = WhisperModel(model, device="cpu", compute_type="int8")
-        found, _ = loaded.transcribe(path, language=language, beam_size=beam, vad_filter=vad, vad_parameters={"min_silence_duration_ms": 500}, condition_on_previous_text=False)
-        for s in found:
-            yield s.id, s.start, s.end, s.text
+def faster_whisper(model: str = DEFAULT_MODEL, device: str = "auto", language: str = "de", beam: int = 5, vad: bool = True) -> Recogniser:
+    """Recogniser on the library of that name."""
+
+    def run(path: str) -> Heard:
+        loaded, dev, kind = whisper_model(model, device)
+        found, info = loaded.transcribe(path, language=language, beam_size=beam, vad_filter=vad, vad_parameters={"min_silence_duration_ms": 500}, condition_on_previous_text=False)
+        return Heard(((s.id, s.start, s.end, s.text) for s in found), info.duration, info.language, "faster-whisper", dev, kind)
 
     return run
 
 
 def mlx_whisper(model: str = DEFAULT_MODEL, language: str = "de") -> Recogniser:
-    def run(path: str):
-        found = importlib.import_module("mlx_whisper").transcribe(path, path_or_hf_repo=mlx_repository(model), language=language, condition_on_previous_text=False, verbose=False)
-        for i, s in enumerate(found["segments"]):
-            yield i, s["start"], s["end"], s["text"]
+    def run(path: str) -> Heard:
+        got = importlib.import_module("mlx_whisper").transcribe(path, path_or_hf_repo=mlx_repository(model), language=language, condition_on_previous_text=False, verbose=False)
+        return Heard(((i, s["start"], s["end"], s["text"]) for i, s in enumerate(got["segments"])), None, got.get("language", language), "mlx", "metal", "float16")
 
     return run

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import BadInput
 from ..functions.markup import decode, parse_document
 from ..operators.chapters import parse_selection
 
@@ -29,7 +30,7 @@ def _xml(data: bytes, what: str) -> ElementTree.Element:
     try:
         return ElementTree.fromstring(data)
     except ElementTree.ParseError as e:
-        raise ValueError(f"{what} is not well-formed XML ({e}), so this is not a readable EPUB") from e
+        raise BadInput(f"{what} is not well-formed XML ({e}), so this is not a readable EPUB") from e
 
 
 def _named(root: ElementTree.Element) -> Iterator[tuple[str, ElementTree.Element]]:
@@ -41,7 +42,7 @@ def package_path(container: bytes) -> str:
     for name, e in _named(_xml(container, CONTAINER)):
         if name == "rootfile" and e.get("full-path"):
             return posixpath.normpath(unquote(e.get("full-path")))
-    raise ValueError(f"{CONTAINER} names no rootfile, so this is not a readable EPUB")
+    raise BadInput(f"{CONTAINER} names no rootfile, so this is not a readable EPUB")
 
 
 def member_path(folder: str, href: str) -> str:
@@ -70,7 +71,7 @@ def read_package(xml: bytes, path: str) -> tuple[dict[str, str | None], list[str
             log.warning("the spine names %r, which the manifest lacks", ref)
     spine = [manifest[ref][0] for ref in order if ref in manifest and is_content(*manifest[ref])]
     if not spine:
-        raise ValueError("the EPUB spine has no XHTML content documents")
+        raise BadInput("the EPUB spine has no XHTML content documents")
     return said, spine
 
 
@@ -79,16 +80,16 @@ def read_book(data: bytes, name: str, wanted: list[tuple[int, int]] | None = Non
     try:
         archive = zipfile.ZipFile(io.BytesIO(data))
     except zipfile.BadZipFile as e:
-        raise ValueError(f"{name} is not a valid EPUB (not a ZIP archive)") from e
+        raise BadInput(f"{name} is not a valid EPUB (not a ZIP archive)") from e
     with archive:
         members = set(archive.namelist())
         if ENCRYPTION in members:
-            raise ValueError(f"{name} is DRM-protected ({ENCRYPTION} is present); only books without DRM can be read")
+            raise BadInput(f"{name} is DRM-protected ({ENCRYPTION} is present); only books without DRM can be read")
         if CONTAINER not in members:
-            raise ValueError(f"{name} has no {CONTAINER}, so it is not a valid EPUB")
+            raise BadInput(f"{name} has no {CONTAINER}, so it is not a valid EPUB")
         package = package_path(archive.read(CONTAINER))
         if package not in members:
-            raise ValueError(f"{name}: package document {package} is missing from the archive")
+            raise BadInput(f"{name}: package document {package} is missing from the archive")
         said, spine = read_package(archive.read(package), package)
         rows = []
         for index, href in enumerate(spine):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
+from ..errors import BadInput
 from ..operators.validation import chapter_answer, word_answer
 
 
@@ -19,15 +20,23 @@ def read_lines(path: str | Path) -> list[dict]:
         try:
             record = json.loads(line)
             if not isinstance(record, dict):
-                raise ValueError(f"found a {type(record).__name__} instead of an object")
+                raise BadInput(f"found a {type(record).__name__} instead of an object")
         except ValueError as e:
             if number < len(lines):
-                raise ValueError(f"{path}:{number} is no checkpoint record ({e}); delete the file to begin the stage anew") from e
+                raise BadInput(f"{path}:{number} is no checkpoint record ({e}); delete the file to begin the stage anew") from e
             break
         records.append(record)
     return records
 
 
+def is_record(line: bytes) -> bool:
+    """Whether a line is a whole JSON object."""
+    try:
+        return isinstance(json.loads(line), dict)
+    except ValueError:
+        return False
+
+
 def _typed(path, make) -> dict:
     done, records = {}, read_lines(path)
     for number, record in enumerate(records, 1):
@@ -36,7 +45,7 @@ def _typed(path, make) -> dict:
             done[key] = value
         except (KeyError, TypeError, ValueError) as e:
             if number < len(records):
-                raise ValueError(f"{path}: no checkpoint record ({type(e).__name__}: {e}); delete the file to begin the stage anew") from e
+                raise BadInput(f"{path}: no checkpoint record ({type(e).__name__}: {e}); delete the file to begin the stage anew") from e
     return done
 
 

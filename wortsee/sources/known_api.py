@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..errors import Failed
 from ..operators.known import entries, from_response
 
 URL_VARIABLE, TOKEN_VARIABLE = "KNOWN_WORDS_API_URL", "KNOWN_WORDS_API_TOKEN"
@@ -19,7 +20,7 @@ SNIPPET = 200
 Transport = Callable[[str, dict, float], tuple[int, str, str]]
 
 
-class KnownWordsError(RuntimeError):
+class KnownWordsError(Failed):
     """The interface can't be reached, or its answer is no word list; the message is for the user."""
 
 

@@ -8,24 +8,35 @@ from __future__ import annotations
 
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.extract import WORD_ANSWER, Extractor, ask_words
+from ..operators.extract import WORD_ANSWER, Extractor, Pace, ask_words
 
 
-def answer_stream(sentences: DataFrame, text: str, extractor: Extractor, answers: str, checkpoint: str, **trigger) -> StreamingQuery:
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there; a folder that is there but can't be read is an error."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def _answered(asked: DataFrame) -> DataFrame:
+    """Rows with an answer; the first error fails the batch, which then runs again."""
+    wrong = F.raise_error(F.col("error"))
+    return asked.withColumn("text", F.when(F.col("error").isNotNull(), wrong.cast("string")).otherwise(F.col("text"))).drop("error")
+
+
+def answer_stream(sentences: DataFrame, text: str, extractor: Extractor, answers: str, checkpoint: str, pace: Pace = Pace(), **trigger) -> StreamingQuery:
     """Keep the answers table at a path up to date with a stream of sentences; trigger as for writeStream.trigger."""
 
     def batch(df: DataFrame, n: int) -> None:
         spark = df.sparkSession
         folder = str(PurePosixPath(answers) / f"batch={n}")
         known = spark.createDataFrame([], WORD_ANSWER)
-        try:
+        if _exists(spark, answers):
             known = spark.read.schema(WORD_ANSWER + ", batch bigint").parquet(answers).where(f"batch <> {n}").select("text", "words")
-            known.isEmpty()
-        except Exception:  # nothing is there yet
-            known = spark.createDataFrame([], WORD_ANSWER)
-        ask_words(df, text, extractor, known).write.mode("overwrite").parquet(folder)
+        _answered(ask_words(df, text, extractor, known, pace)).write.mode("overwrite").parquet(folder)
 
     return sentences.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
