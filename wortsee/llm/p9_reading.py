@@ -194,11 +194,11 @@ def count_keys(frequent: dict[str, int]) -> Callable:
 class Shares:
     """How much likelier each word or triple of a language is at each grade than over all, for all folds and without each one."""
 
-    def __init__(self, key: np.ndarray, fold: np.ndarray, counts: np.ndarray) -> None:
-        """key, fold and counts by grade of each row."""
+    def __init__(self, key: np.ndarray, counts: np.ndarray) -> None:
+        """Keys, possibly repeated, and the counts of each by fold and grade."""
         self.keys, at = np.unique(key, return_inverse=True)
         by_fold = np.zeros((FOLDS, len(self.keys), len(LEVELS)))
-        np.add.at(by_fold, (fold, at), counts)
+        np.add.at(by_fold, (slice(None), at), counts.transpose(1, 0, 2))
         whole = by_fold.sum(0)
         self.tables = [self._ratios(whole - by_fold[f]) for f in range(FOLDS)] + [self._ratios(whole)]
 
@@ -236,15 +236,15 @@ class Shares:
 class Evidence:
     """Frequent words, and the shares by language; "" stands for all languages together."""
 
-    def __init__(self, frequent: dict[str, int], lang: np.ndarray, family: np.ndarray, key: np.ndarray, fold: np.ndarray, counts: np.ndarray, sizes: dict[str, int]) -> None:
+    def __init__(self, frequent: dict[str, int], lang: np.ndarray, family: np.ndarray, key: np.ndarray, counts: np.ndarray, sizes: dict[str, int]) -> None:
         self.frequent = frequent
         self.prior = {}
         self.shares = {}
         for name in ("", *(la for la, n in sizes.items() if la and n >= MIN_OWN)):
             mine = (lang == name) if name else np.ones(len(lang), bool)
-            self.shares[name] = [Shares(key[at], fold[at], counts[at]) for at in (mine & (family == f) for f in (VOCABULARY, SYNTAX))]
+            self.shares[name] = [Shares(key[at], counts[at]) for at in (mine & (family == f) for f in (VOCABULARY, SYNTAX))]
             # Triples stand for texts by their length; that is near enough for a prior.
-            by_grade = counts[mine & (family == SYNTAX)].sum(0) + 1
+            by_grade = counts[mine & (family == SYNTAX)].sum((0, 1)) + 1
             self.prior[name] = by_grade / by_grade.sum()
 
     def names(self, langs: list[str | None]) -> np.ndarray:
@@ -344,12 +344,13 @@ def learn(known: DataFrame) -> Model | None:
     words = sorted({r["word"] for r in in_texts.where((F.col("word") != "") & (F.col("n") >= F.element_at(least, F.col("lang")))).select("word").collect()})
     frequent = {w: FIRST + k for k, w in enumerate(words)}
     grades = [f"g{k}" for k in LEVELS]
-    counts = known.mapInArrow(count_keys(frequent), COUNTS).groupBy("lang", "family", "key", "fold").agg(*[F.sum(g).alias(g) for g in grades])
-    telling = F.sum(sum((F.col(g) for g in grades[1:]), F.col(grades[0])))
-    by_key = counts.groupBy("lang", "family", "key").agg(telling.alias("n"), F.collect_list(F.struct("fold", *grades)).alias("of")).where(F.col("n") >= MIN_COUNT)
-    got = by_key.select("lang", "family", "key", F.explode("of").alias("o")).select("lang", "family", "key", "o.*").toArrow()
-    lang, family, key, fold = (got.column(c).to_numpy() for c in ("lang", "family", "key", "fold"))
-    evidence = Evidence(frequent, lang, family, key, fold, np.column_stack([got.column(g).to_numpy() for g in grades]), sizes)
+    counts = known.mapInArrow(count_keys(frequent), COUNTS)
+    by_fold = F.array(*[F.sum(F.when(F.col("fold") == f, F.col(g)).otherwise(0.0)).cast("float") for f in range(FOLDS) for g in grades])
+    by_key = counts.groupBy("lang", "family", "key").agg(by_fold.alias("by_fold"), F.sum(sum((F.col(g) for g in grades[1:]), F.col(grades[0]))).alias("n"))
+    got = by_key.where(F.col("n") >= MIN_COUNT).select("lang", "family", "key", "by_fold").toArrow().combine_chunks()
+    lang, family, key = (got.column(c).to_numpy() for c in ("lang", "family", "key"))
+    sums = np.array(got.column("by_fold").to_pylist(), float).reshape(-1, FOLDS, len(LEVELS))
+    evidence = Evidence(frequent, lang, family, key, sums, sizes)
     shipped = spark.sparkContext.broadcast(evidence)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
