@@ -27,6 +27,7 @@ import html as html_lib
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterable
 from functools import lru_cache
 
 import pyarrow as pa
@@ -78,6 +79,7 @@ def form(word: str) -> str:
     return word.translate(FORMS)
 
 
+@lru_cache(maxsize=50_000)
 def line_form(line: str) -> str:
     """Form of a line: letters only, case-folded, misreadings undone."""
     return form("".join(c for c in _LEADERS.sub("", line) if c.isalnum() or c in "|'").lower()).lower()
@@ -119,6 +121,12 @@ def parts_of(line: str) -> list[tuple[str, str]]:
     return [*out, ("", line)]
 
 
+def _said(raw: str) -> str:
+    """Text of a piece of markup."""
+    text = _TAGS.sub("", raw) if "<" in raw else raw
+    return html_lib.unescape(text) if "&" in text else text
+
+
 def pages(markup: str) -> list[tuple[int, list[tuple[str, bool]]]]:
     """Pages as (number, lines); a line is its text and whether a paragraph may begin with it."""
     marks = list(_PAGE.finditer(markup))
@@ -132,7 +140,7 @@ def pages(markup: str) -> list[tuple[int, list[tuple[str, bool]]]]:
         for b in [*_BLOCK.finditer(body), None]:
             chunk = body[pos : b.start() if b else len(body)]
             for raw in _BREAK.split(chunk):
-                text = html_lib.unescape(_TAGS.sub("", raw)).strip()
+                text = _said(raw).strip()
                 if text:
                     lines.append((text, starts))
                     starts = False
@@ -149,7 +157,7 @@ def flat_lines(markup: str) -> list[tuple[str, bool]]:
     out, pos, classed = [], 0, False
     for b in [*_BLOCK.finditer(markup), None]:
         for k, raw in enumerate(_BREAK.split(markup[pos : b.start() if b else len(markup)])):
-            said = html_lib.unescape(_TAGS.sub("", raw))
+            said = _said(raw)
             if text := said.strip():
                 out.append((text, classed or (k > 0 and said[0].isspace())))
                 classed = False
@@ -269,9 +277,12 @@ def edges_of(markup: str | None) -> list[dict]:
     return out
 
 
+_SENTENCE = re.compile(r"(?<![\s.…])[.!?:;,“”«»‘’‹›]$|[" + HYPHENS + r"]$|[,;!?„»«]")
+
+
 def _sentence_like(text: str) -> bool:
     """Whether a line ends or goes on as a sentence does: not so a head, which may end with leaders."""
-    return bool(re.search(r"(?<![\s.…])[.!?:;,“”«»‘’‹›]$|[" + HYPHENS + r"]$", text)) or bool(re.search(r"[,;!?„»«]", text))
+    return bool(_SENTENCE.search(text))
 
 
 def _title_like(text: str) -> bool:
@@ -314,6 +325,7 @@ def furniture(markup: str, titles: list[str | None], heads: list[str], distances
     return kept, removed
 
 
+@lru_cache(maxsize=200_000)
 def core(token: str) -> tuple[str, str, str]:
     """Punctuation before, word, punctuation after."""
     a = token.lstrip(STRIP)
@@ -353,25 +365,27 @@ def read_scan(markup: str | None, titles: list[str | None], heads: list[str], di
     if not markup:
         return {"removed": [], "words": [], "breaks": []}
     kept, removed = furniture(markup, titles, heads, distances)
-    words: Counter = Counter()
-    breaks = set()
-    for paragraph in paragraphs(kept):
-        for a, b in paragraph:
-            if b:
-                breaks.add((a, b))
-            elif w := core(a)[1]:
-                words[w] += 1
+    tokens: Counter = Counter(t for paragraph in paragraphs(kept) for t in paragraph)
+    breaks = [t for t in tokens if t[1]]
     made = []
     for a, b in sorted(breaks):
         one, hyphened, *_ = break_forms(a, b)
         made.append({"a": a, "b": b, "one": one, "hyphened": hyphened})
-    return {"removed": removed, "words": [{"word": w, "n": n} for w, n in words.items()], "breaks": made}
+    return {"removed": removed, "words": _word_counts((a, n) for (a, b), n in tokens.items() if not b), "breaks": made}
 
 
 def clean_words(markup: str | None) -> dict:
-    text = html_lib.unescape(_TAGS.sub(" ", markup or ""))
-    words = Counter(w for t in text.split() if (w := core(t)[1]))
-    return {"removed": [], "words": [{"word": w, "n": n} for w, n in words.items()], "breaks": []}
+    tokens = Counter(html_lib.unescape(_TAGS.sub(" ", markup or "")).split())
+    return {"removed": [], "words": _word_counts(tokens.items()), "breaks": []}
+
+
+def _word_counts(tokens: Iterable[tuple[str, int]]) -> list[tuple[str, int]]:
+    """Words of tokens without adjoining punctuation, with their counts."""
+    words: Counter = Counter()
+    for token, n in tokens:
+        if w := core(token)[1]:
+            words[w] += n
+    return list(words.items())
 
 
 @lru_cache(maxsize=100_000)
