@@ -6,12 +6,14 @@ over the list's names and their aliases then finds embedded mentions; the
 longest non-overlapping ones win, and the value is mapped if nothing but card
 notation stands around them. What remains goes to token-set similarity: the
 tokens are the letter pairs of the value, and all entries that share enough of
-them to be within the allowed number of slips are ranked by the cost of the
-slips.
+them to be within the allowed number of slips are taken in the order of that
+similarity and checked by the cost of the slips.
 
 Compound entries tell how further compounds would be built. Those that the list
-lacks stand beside it as counter-candidates: a value nearest to one of them
-stands for none of the list.
+lacks are counter-candidates: a value nearest to one of them stands for none of
+the list. They are found by the letter pairs of their two parts and are never
+written down, so the index grows in proportion to the list. A value of more
+letters than any name or compound can have within the allowed slips is near none.
 
 Defined results: null and blank values and values that equal an entry make no
 case; a value that means no entry has id 0; of repeated entries of the list the
@@ -24,7 +26,7 @@ import re
 import unicodedata
 import uuid
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,6 @@ from .common import WS_CLASS, once, table
 MAX_LIST = 200_000
 #: Letter pairs that a slip takes from a value for each unit of its cost, at most: three for a transposition of cost 0.8.
 LOST = 3.75
-#: Letters of the longest value that is compared by slips; longer ones are no mistyped entries but texts.
-LONGEST_SLIP = 200
 #: By how much less cost a counter-candidate beats an entry.
 CLEARLY = 0.5
 #: How often the first and the last part of a compound must occur in the list to count as parts.
@@ -47,9 +47,10 @@ MIN_PART = 3
 # Words and signs of card notation.
 ARTICLES = frozenset("der die das den dem des ein eine einen einem einer eines".split())
 PARTICLES = ARTICLES | {"sich", "zu", "etwas", "etw", "jemanden", "jmdn", "jemandem", "jmdm"}
-NOTES = re.compile(
-    r"\(\s*lektion\s*\d+\s*\)|\(\s*nur\s+\w+\.?\s*\)|\(\s*pl\.[^)]*\)|\(\s*(?:adj|adv|verb|nomen|subst)\.?\s*\)|\(\s*[mfne]\s*\)|#\s*[a-c][12]\b|\bs\.\s*heft\b|[–—-]\s*wichtig\b|=\s*\?|^\s*wort\s*:|^\s*\d+\s*[.)]\s*|,\s*(?:¨|̈)?\s*-\s*\w*|/\s*-\s*$"
-)
+#: How cards mark what is no part of a word: text in brackets, tags, a label or number before it, endings of other forms, references and remarks behind it.
+NOTES = re.compile(r"\([^)]*\)|\[[^\]]*\]|<[^>]*>|\{[^}]*\}|#\s*\w+|^\s*\w+\s*:|^\s*\d+\s*[.)]\s*|,\s*(?:¨|̈)?\s*-\s*\w*|/\s*-\s*$|=.*$|\s[–—-]\s+\w+\s*$|\b(?:s\.|siehe|vgl\.?|cf\.?)\s+\w+\s*$")
+#: Brackets that may also stand around a part of the word itself.
+BRACKETS = str.maketrans(dict.fromkeys("()[]<>{}"))
 #: Cyrillic and Greek letters that look like Latin ones.
 LOOKALIKES = str.maketrans("аеоорсухіјѕԁһкмтвнАЕОРСХІЈЅКМТВНУαοερνικ", "aeoopcyxijsdhkmtbhAEOPCXIJSKMTBHYaoepvik")
 #: Digits and signs misread for letters.
@@ -108,9 +109,8 @@ def letters_of(text: str) -> str:
 
 def readings(value: str) -> list[str]:
     """The letters of a value in one writing with its notation taken off, most likely reading first."""
-    text = NOTES.sub(" ", value)
     out = []
-    for form in (re.sub(r"\([^)]*\)|\[[^\]]*\]|<[^>]*>|\{[^}]*\}", " ", text), text):
+    for form in (NOTES.sub(" ", value), NOTES.sub(" ", value.translate(BRACKETS))):
         for piece in (re.split(r"[,;=/]|\s[–—-]\s", form)[0], form):
             tokens = piece.translate(MISREAD).split()
             while len(tokens) > 1 and letters_of(tokens[0]) in PARTICLES:
@@ -211,8 +211,28 @@ def allowed(length: int) -> float:
     return 0.0 if length < 3 else 1.0 if length < 6 else 2.0 if length < 9 else 2.6 if length < 13 else 3.0
 
 
+class Postings:
+    """Letter pairs of some strings: how many of a value's pairs each of them has."""
+
+    def __init__(self, strings: list[str], pairs: Callable[[str], set[str]]) -> None:
+        found: dict[str, list[int]] = defaultdict(list)
+        for n, s in enumerate(strings):
+            for p in pairs(s):
+                found[p].append(n)
+        self.strings = strings
+        self.places = {p: np.array(v, np.int32) for p, v in found.items()}
+
+    def shared(self, pairs: set[str]) -> np.ndarray:
+        hits = [self.places[p] for p in pairs if p in self.places]
+        return np.bincount(np.concatenate(hits), minlength=len(self.strings)) if hits else np.zeros(len(self.strings), np.int64)
+
+
+def pairs_of(key: str) -> set[str]:
+    return {key[i : i + 2] for i in range(len(key) - 1)}
+
+
 class Canon:
-    """Index over a reference list: exact spellings, automaton, letter pairs, counter-candidates."""
+    """Index over a reference list: exact spellings, automaton, letter pairs, parts of compounds."""
 
     def __init__(self, entries: list[tuple[int, str]]) -> None:
         import ahocorasick
@@ -226,6 +246,8 @@ class Canon:
                 self.ids[key] = i
                 words = " ".join(_WORD.findall(one_writing(name)))
                 self.auto.add_word(words, (i, len(words)))
+        names = {letters_of(one_writing(n)) for _, n in entries} - {""}
+        self.of_name = {key: self.ids[key] for key in names}
         for key, i in list(self.ids.items()):
             for alias in spellings(key):
                 self.ids.setdefault(alias, i)
@@ -234,29 +256,23 @@ class Canon:
                 if alias and not self.auto.exists(alias):
                     self.auto.add_word(alias, (i, len(alias)))
         self.auto.make_automaton()
-        names = {letters_of(one_writing(n)) for _, n in entries} - {""}
+        # Compounds that the list lacks are never written down: a value is held against their parts.
         first, last = compound_parts(names)
-        pool = {key: self.ids[key] for key in names}
-        for a in first:
-            for b in last:
-                pool.setdefault(a + b, 0)
-        self.pool = pool
-        self.others = {s for k, i in pool.items() if not i for s in spellings(k)} - set(self.ids)
-        self.names = sorted(pool)
-        pairs: dict[str, list[int]] = defaultdict(list)
-        for n, name in enumerate(self.names):
-            for p in self.pairs(name):
-                pairs[p].append(n)
-        self.postings = {p: np.array(v, np.int32) for p, v in pairs.items()}
+        self.first_spelled = {s: a for a in sorted(first, reverse=True) for s in spellings(a)}
+        self.last_spelled = {s: b for b in sorted(last, reverse=True) for s in spellings(b)}
+        self.firsts, self.lasts = Postings(sorted(first), lambda a: pairs_of("^" + a)), Postings(sorted(last), lambda b: pairs_of(b + "$"))
+        self.names = sorted(names)
+        self.postings = Postings(self.names, self.pairs)
         self.lengths = np.array([len(n) for n in self.names], np.int32)
+        self.longest = max([0, *map(len, names), max(map(len, first), default=0) + max(map(len, last), default=0)])
         self.signs = {c: i for i, c in enumerate(sorted({c for n in self.names for c in n}))}
         self.bags = np.array([self.bag(n)[0] for n in self.names], np.int16).reshape(len(self.names), len(self.signs))
+        self.first_bags, self.last_bags = (np.array([self.bag(x)[0] for x in p.strings], np.int16).reshape(len(p.strings), len(self.signs)) for p in (self.firsts, self.lasts))
         self.cache: dict[str, int] = {}
 
     @staticmethod
     def pairs(key: str) -> set[str]:
-        padded = f"^{key}$"
-        return {padded[i : i + 2] for i in range(len(padded) - 1)}
+        return pairs_of(f"^{key}$")
 
     def bag(self, key: str) -> tuple[np.ndarray, int]:
         """How often each letter of the list occurs in a key, and how many other letters it has."""
@@ -289,46 +305,73 @@ class Canon:
             around[a:b] = " " * (b - a)
         return taken[0][2] if all(t in PARTICLES or len(t) == 1 for t in "".join(around).split()) else None
 
+    def lacks(self, key: str) -> bool:
+        """Whether a value's letters are a compound that the list lacks."""
+        return any(
+            (a := self.first_spelled.get(key[:i])) and (b := self.last_spelled.get(key[i:])) and a + b not in self.of_name for i in range(1, len(key))
+        )
+
+    def lacked(self, key: str, pairs: set[str], counts: np.ndarray, others: int, most: float) -> float:
+        """Cost of the nearest compound that the list lacks; 99 if none is within `most`."""
+        need = max(1, len(pairs) - LOST * most) - 1  # one pair may stand where the parts meet
+        a, b = self.firsts.shared(pairs), self.lasts.shared(pairs)
+        if most <= 0 or not len(a) or not len(b):
+            return 99.0
+        by_count = np.argsort(-b, kind="stable")
+        firsts = np.flatnonzero(a + b[by_count[0]] >= need)
+        reach = np.searchsorted(-b[by_count], a[firsts] - need, "right")
+        i = np.repeat(firsts, reach)
+        j = by_count[np.arange(len(i)) - np.repeat(np.cumsum(reach) - reach, reach)]
+        gap = self.first_bags[i] + self.last_bags[j] - counts
+        at_least = 0.6 * np.maximum(np.where(gap > 0, gap, 0).sum(1), np.where(gap < 0, -gap, 0).sum(1) + others)
+        best = most
+        found = 99.0
+        for k in np.flatnonzero(at_least <= most)[np.argsort(at_least[at_least <= most], kind="stable")]:
+            if at_least[k] > best:
+                break
+            name = self.firsts.strings[i[k]] + self.lasts.strings[j[k]]
+            if name not in self.of_name and len(pairs & self.pairs(name)) >= len(pairs) - LOST * best and (c := slip_cost(key, name, best)) <= best:
+                best = found = c
+        return found
+
     def nearest(self, key: str, most: float) -> tuple[float, int]:
-        """Cost and id of the entry or counter-candidate nearest to a value's letters; (99, 0) if none is near enough."""
-        if most <= 0 or not self.names:
+        """Cost and id of the entry or counter-candidate nearest to a value's letters; (99, 0) if none is near enough.
+
+        Entries are taken in the order of their token-set similarity to the
+        value, over letter pairs as tokens; the cost of the slips is the check
+        that the similar ones must pass.
+        """
+        if most <= 0 or not self.names or len(key) > self.longest + most / 0.6:
             return 99.0, 0
         pairs = self.pairs(key)
-        hits = [self.postings[p] for p in pairs if p in self.postings]
-        if not hits:
-            return 99.0, 0
-        shared = np.bincount(np.concatenate(hits), minlength=len(self.names))
+        shared = self.postings.shared(pairs)
         at = np.flatnonzero(shared >= max(1, len(pairs) - LOST * most))
         # Letters that one has and the other lacks cost at least 0.6 each to bring in or out.
         counts, others = self.bag(key)
         gap = self.bags[at] - counts
         at_least = 0.6 * np.maximum(np.where(gap > 0, gap, 0).sum(1), np.where(gap < 0, -gap, 0).sum(1) + others)
-        # Most alike by the Dice coefficient of the two token sets first; wider bounds only if narrow ones find nothing.
         alike = 2.0 * shared[at] / (len(pairs) + self.lengths[at] + 1)
-        best, ids, lacked = 99.0, set(), 99.0
+        # Narrow bounds first; wider ones only if those find nothing.
         for bound in sorted({b for b in (1.0, 2.0) if b < most} | {most}):
             near = (at_least <= bound) & (shared[at] >= len(pairs) - LOST * bound)
-            best = bound + 1e-9
+            best, ids = bound + 1e-9, set()
             for k in np.flatnonzero(near)[np.argsort(-alike[near], kind="stable")]:
                 n = at[k]
                 if at_least[k] > best or shared[n] < len(pairs) - LOST * best:
                     continue
-                i = self.pool[self.names[n]]
                 c = slip_cost(key, self.names[n], best)
-                if c > best + 1e-9:
-                    continue
-                if not i:
-                    lacked = min(lacked, c)
-                elif c < best - 1e-9:
-                    best, ids = c, {i}
-                else:
-                    ids.add(i)
-            if ids or lacked < bound - CLEARLY:
-                break
-        # Slips are made on words that learners have: a name of the list is meant unless one that it lacks is clearly nearer.
-        if not ids or lacked < best - CLEARLY:
-            return (99.0, 0) if lacked > 90 else (lacked, 0)
-        return best, ids.pop() if len(ids) == 1 else 0
+                if c < best - 1e-9:
+                    best, ids = c, {self.of_name[self.names[n]]}
+                elif c <= best + 1e-9:
+                    ids.add(self.of_name[self.names[n]])
+            # Slips are made on words that learners have: a name of the list is meant unless one that it lacks is clearly nearer.
+            reach = best - CLEARLY if ids else bound
+            lacked = self.lacked(key, pairs, counts, others, reach)
+            if ids and lacked >= best - CLEARLY:
+                return best, ids.pop() if len(ids) == 1 else 0
+            if lacked < bound - CLEARLY or (lacked <= bound and bound == most):
+                return lacked, 0
+        return 99.0, 0
 
     def find(self, value: str) -> int:
         if (got := self.cache.get(value)) is None:
@@ -346,14 +389,15 @@ class Canon:
             if (i := self.ids.get(key)) is not None:
                 return i
         for key in keys[:1]:
-            if key in self.others:
+            if self.lacks(key):
                 return 0
         best = (99.0, 0)
         for key in keys[:2]:
-            if len(key) <= LONGEST_SLIP:
-                got = self.nearest(key, min(allowed(len(key)), best[0]))
-                if got[0] < best[0]:
-                    best = got
+            got = self.nearest(key, min(allowed(len(key)), best[0]))
+            if got[0] < best[0]:
+                best = got
+            if best[1]:
+                break
         return best[1]
 
 
