@@ -81,6 +81,16 @@ def content_sentences(verdicts: DataFrame, key: list[str]) -> DataFrame:
     return verdicts.where("is_content").select(*key, F.posexplode("sentences").alias("pos", "text"))
 
 
+def with_verdicts(chapters: DataFrame, verdicts: DataFrame, key: list[str]) -> DataFrame:
+    """Documents with their verdicts; a document without one leaves. Documents keep the columns that order them."""
+    return chapters.join(verdicts, key)
+
+
+def char_count(paragraphs: Column) -> Column:
+    """Code points of a document's paragraphs."""
+    return F.aggregate(paragraphs, F.lit(0).cast("long"), lambda n, p: n + F.length(p))
+
+
 def title_or_name(title: Column, href: Column) -> Column:
     """The title, or the last part of the path where it is null or empty."""
     return F.coalesce(F.nullif(title, F.lit("")), F.element_at(F.split(href, "/"), -1))

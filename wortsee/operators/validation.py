@@ -3,6 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from ..errors import Failed
 
@@ -64,3 +69,42 @@ def completion(response: dict, what: str):
         return json.loads(message["content"])
     except ValueError as e:
         raise AnswerError(f"no valid JSON for {what}: {e}. Response: {message['content'][:200]}") from e
+
+
+def _checked(body: Column, check: Callable[[object], dict], fields: str) -> Column:
+    """struct<fields, error> of answers as text: what the check makes of them, or its message. A null answer gives null."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    given = StructType.fromDDL(fields + ", error string")
+    kind = pa.struct(list(to_arrow_schema(given)))
+
+    def one(text: str | None) -> dict | None:
+        if text is None:
+            return None
+        try:
+            return check(json.loads(text))
+        except (ValueError, AnswerError) as e:
+            return {"error": str(e)}
+
+    @F.arrow_udf(given)
+    def run(arr: pa.Array) -> pa.Array:
+        return pa.array([one(t) for t in arr.to_pylist()], kind)
+
+    return run(body)
+
+
+def word_answers(body: Column) -> Column:
+    """word_answer() of a column of JSON answers: struct<words, error>."""
+    names = ("lemma", "word_type", "article")
+    return _checked(body, lambda data: {"words": [dict(zip(names, w)) for w in word_answer(data)]}, "words array<struct<lemma:string,word_type:string,article:string>>")
+
+
+def chapter_answers(body: Column) -> Column:
+    """chapter_answer() of a column of JSON answers: struct<kind, is_content, sentences, error>."""
+    return _checked(body, lambda data: dict(zip(("kind", "is_content", "sentences"), chapter_answer(data))), "kind string, is_content boolean, sentences array<string>")
+
+
+def completions(body: Column) -> Column:
+    """completion() of a column of responses: struct<answer, error>, the answer as JSON text."""
+    return _checked(body, lambda data: {"answer": json.dumps(completion(data, "it"), ensure_ascii=False)}, "answer string")

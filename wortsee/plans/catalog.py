@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from urllib.parse import quote
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,8 +17,10 @@ from ..operators import checkpoint as cp
 from ..operators import extract as ex
 from ..operators import known as kn
 from ..operators import sentences as se
+from ..operators import validation as va
 from ..operators import wordlist as wl
-from ..sources import audio
+from ..sources import artifacts as art
+from ..sources import audio, epub
 from ..sources.epub import is_epub
 
 QUERIES: dict = {}
@@ -213,24 +220,48 @@ def html_parts(spark, d):
     return c.select("chapter_id", F.posexplode(ch.split_markup(F.col("html"), 4000)).alias("part", "html")).withColumn("part", F.col("part").cast("long"))
 
 
-_CONTENT = "('chapter', 'dialogue', 'foreword')"
+# Verdicts that stand in for a model's: by the length of the part.
+_VERDICTS_SQL = f"""parts as ({_PARTS_SQL}),
+v as (select chapter_id, part, case length(html) % 3 when 0 then 'toc' when 1 then 'chapter' else 'other' end kind, length(html) % 3 > 0 is_content, {_split_sql('html')} ss from parts)"""
 
 
 def _verdicts(spark, d) -> DataFrame:
-    docs = read(spark, d, "documents")
-    return docs.select("source", F.col("doc_id").alias("part"), "kind", F.col("kind").isin("chapter", "dialogue", "foreword").alias("is_content"), F.array(F.coalesce("title", F.lit("?"))).alias("sentences"))
+    """A verdict on each part of each chapter, with the sentences of the part."""
+    n = F.length("html") % 3
+    kind = F.when(n == 0, "toc").when(n == 1, "chapter").otherwise("other")
+    return html_parts(spark, d).select("chapter_id", "part", kind.alias("kind"), (n > 0).alias("is_content"), se.rule_split(F.col("html")).alias("sentences"))
 
 
-@query(f"""select source, coalesce(arg_min(kind, doc_id) filter (where kind in {_CONTENT}), arg_min(kind, doc_id)) kind, bool_or(kind in {_CONTENT}) is_content,
-coalesce(string_agg(coalesce(title, '?'), ' | ' order by doc_id) filter (where kind in {_CONTENT}), '') sentences from documents group by source""")
+@query(f"""with {_VERDICTS_SQL} select chapter_id, coalesce(arg_min(kind, part) filter (where is_content), arg_min(kind, part)) kind, bool_or(is_content) is_content,
+coalesce(array_to_string(flatten(list(ss order by part) filter (where is_content)), ' | '), '') sentences from v group by chapter_id""")
 def chapter_verdicts(spark, d):
-    """The documents of a source as parts of one, their kinds as verdicts."""
-    return ch.combine_parts(_verdicts(spark, d), ["source"]).withColumn("sentences", F.array_join("sentences", " | "))
+    """Verdicts on the parts of chapters as one on each chapter."""
+    return ch.combine_parts(_verdicts(spark, d), ["chapter_id"]).withColumn("sentences", F.array_join("sentences", " | "))
 
 
-@query(f"select doc_id part, cast(0 as int) pos, coalesce(title, '?') text from documents where kind in {_CONTENT}")
+@query(f"with {_VERDICTS_SQL} select chapter_id, part, cast(u.i - 1 as int) pos, ss[u.i] text from v, unnest(range(1, len(ss) + 1)) u(i) where is_content")
 def content_filter(spark, d):
-    return ch.content_sentences(_verdicts(spark, d), ["part"])
+    return ch.content_sentences(_verdicts(spark, d), ["chapter_id", "part"])
+
+
+@query(f"""with {_VERDICTS_SQL}, c as (select chapter_id, any_value(source_id) source_id, any_value(chapter_index) chapter_index, any_value(title) title from chapters group by chapter_id)
+select c.chapter_id, source_id, chapter_index, title, coalesce(arg_min(kind, part) filter (where is_content), arg_min(kind, part)) kind from c join v using (chapter_id) group by 1, 2, 3, 4""")
+def judged_chapters(spark, d):
+    c = delivered_once(read(spark, d, "chapters"), ["chapter_id"], "source_id", "chapter_index", "title")
+    return ch.with_verdicts(c, ch.combine_parts(_verdicts(spark, d), ["chapter_id"]).select("chapter_id", "kind"), ["chapter_id"])
+
+
+_CLEAN = lambda c: f"regexp_replace(coalesce({c}, ''), '[<>&]', '', 'g')"
+
+
+@query(f"""with c as (select chapter_id, {_CLEAN('any_value(title)')} t, any_value(href) h, any_value(source_id) s from chapters group by chapter_id)
+select chapter_id, nullif({_squeeze('t')}, '') title, cast(case when {_squeeze('t')} = '' then 2 else 3 end as int) n, cast(length({_squeeze('t')}) + length({_squeeze('h')}) + length(s::varchar) as bigint) chars from c""")
+def markup_chars(spark, d):
+    """Title, number and length of the paragraphs of markup made of title, href and source."""
+    c = delivered_once(read(spark, d, "chapters"), ["chapter_id"], "title", "href", "source_id")
+    title = F.regexp_replace(F.coalesce("title", F.lit("")), "[<>&]", "")
+    html = F.concat(F.lit("<html><head><title>no</title></head><body><H1>"), title, F.lit("&nbsp;</H1><p> <b>"), F.substring("href", 1, 2), F.lit("</b>"), F.expr("substring(href, 3)"), F.lit("<script>x</script><div>"), F.col("source_id").cast("string"), F.lit("</body>"))
+    return c.select("chapter_id", ch.paragraphs(html).alias("p")).select("chapter_id", "p.title", F.size("p.paragraphs").alias("n"), ch.char_count(F.col("p.paragraphs")).alias("chars"))
 
 
 @query("select chapter_id, chapter_index from (select chapter_id, any_value(chapter_index) chapter_index from chapters group by all) where chapter_index = 0 or chapter_index between 2 and 4 or chapter_index = 7")
@@ -352,14 +383,20 @@ def known_entries(spark, d):
     return kn.entries(cards_once(spark, d), "entry")
 
 
-@query()
+@query(rf"""with {_ANS}, s as (select distinct text from (select source_id, pos, any_value(text) text from sentences group by all) s where text is not null and not exists (select 1 from an where an.source_id = s.source_id and an.text = s.text)),
+t as (select text, list_filter(list_transform(string_split({_squeeze('text')}, ' '), lambda x: regexp_replace(x, '[^\p{{L}}]', '', 'g')), lambda x: x <> '') ws from s),
+e as (select text, u.i i, ws[u.i] lemma from t, unnest(range(1, len(ws) + 1)) u(i)), f as (select text, {_fold('lemma')} k, min(i) i, arg_min(lemma, i) lemma from e group by 1, 2)
+select text, cast(row_number() over (partition by text order by i) - 1 as int) w_ord, lemma, 'other' word_type, cast(null as varchar) article from f""")
 def extracted_words(spark, d):
     """Words of every distinct sentence that has no answer yet, by the deterministic extractor."""
     todo = resume_pending(spark, d).select("text")
     return ex.ask_words(todo, "text", ex.token_extractor).select("text", F.posexplode("words").alias("w_ord", "w")).select("text", "w_ord", "w.lemma", "w.word_type", "w.article")
 
 
-@query()
+@query(rf"""with s as (select doc_id, {_split_sql('text')} ss from documents where text is not null), x as (select doc_id, u.i - 1 pos, ss[u.i] text from s, unnest(range(1, len(ss) + 1)) u(i)),
+b as (select *, case when regexp_matches(lag(text) over w, '(^|[\s\x{{85}}\x{{A0}}\x{{2028}}\x{{2029}}])\p{{Nd}}{{1,2}}\.$') then 0 else 1 end b from x window w as (partition by doc_id order by pos)),
+c as (select *, sum(b) over (partition by doc_id order by pos) chain from b)
+select doc_id, cast(min(pos) as int) pos, string_agg(text, ' ' order by pos) text from c group by doc_id, chain""")
 def document_sentences(spark, d):
     """Sentences of all documents by the rule profile, ordinals mended."""
     return se.split_documents(read(spark, d, "documents").where("text is not null"), ["doc_id"], "text")
@@ -372,3 +409,126 @@ def list_order(spark, d):
     made = wl.build(words_once(spark, d), ["source_id"], examples=None)
     place = F.row_number().over(Window.partitionBy("source_id").orderBy(*wl.order([])))
     return made.select("source_id", "lemma_key", "word_type", "count", place.alias("place"))
+
+
+_BOOK = """c as (select chapter_id, any_value(source_id) source_id, any_value(chapter_index) chapter_index, any_value(href) href, any_value(html) html from chapters group by chapter_id),
+spine as (select *, chapter_id || '/' || href path, chapter_id % 7 = 0 nav, chapter_id % 5 = 0 untyped, chapter_id % 11 = 0 dangling, chapter_id % 13 = 0 absent from c),
+kept as (select *, row_number() over (partition by source_id order by chapter_index nulls first, chapter_id) - 1 "index" from spine where not dangling and not nav and (not untyped or suffix(lower(path), '.xhtml') or suffix(lower(path), '.html') or suffix(lower(path), '.htm')))"""
+
+
+def _spine(spark, d) -> DataFrame:
+    """Chapters as entries of a package: some are navigation, have no media type, are not listed or are missing from the archive."""
+    c = delivered_once(read(spark, d, "chapters"), ["chapter_id"], "source_id", "chapter_index", "href", "html")
+    every = lambda n: F.pmod("chapter_id", F.lit(n)) == 0
+    return c.select(
+        "source_id", "chapter_id", "chapter_index", F.concat(F.col("chapter_id").cast("string"), F.lit("/"), "href").alias("href"), "html",
+        F.when(every(7), "x nav").alias("properties"), F.when(~every(5), "application/xhtml+xml").alias("media_type"), every(11).alias("dangling"), every(13).alias("absent"),
+    )
+
+
+@query(f"""with {_BOOK} select source_id, cast("index" as int) "index", 'OEBPS/' || path href, length(coalesce(html, '')) n_html from kept where not absent""")
+def book_documents(spark, d):
+    """Every source's chapters put into an archive and read as a book."""
+    entry = F.struct(F.coalesce("chapter_index", F.lit(-1)).alias("o"), "chapter_id", "href", "html", "properties", "media_type", "dangling", "absent")
+    books = _spine(spark, d).where("source_id is not null").groupBy("source_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    files = books.select(F.col("source_id").cast("string").alias("path"), archive(F.col("entries")).alias("content"))
+    found = epub.read_books(files, on_error="row").where("error is null")
+    return found.select(F.col("file").cast("long").alias("source_id"), "index", "href", F.length("html").cast("long").alias("n_html"))
+
+
+def archive(entries):
+    """Books made of entries (chapter_id, href, html, properties, media_type, dangling, absent) in reading order."""
+
+    @F.arrow_udf("binary")
+    def make(arr: pa.Array) -> pa.Array:
+        made = []
+        for rows in arr.to_pylist():
+            items = "".join(f'<item id="c{r["chapter_id"]}" href="{quote(r["href"])}"' + (f' media-type="{r["media_type"]}"' if r["media_type"] else "") + (f' properties="{r["properties"]}"' if r["properties"] else "") + "/>" for r in rows if not r["dangling"])
+            refs = "".join(f'<itemref idref="c{r["chapter_id"]}"/>' for r in rows)
+            members = {"META-INF/container.xml": '<container xmlns="u"><rootfiles><rootfile full-path="OEBPS/book.opf"/></rootfiles></container>', "OEBPS/book.opf": f'<package xmlns="u"><manifest>{items}</manifest><spine>{refs}</spine></package>'}
+            members |= {"OEBPS/" + r["href"]: r["html"] or "" for r in rows if not r["absent"]}
+            buffer = io.BytesIO()
+            with zipfile.ZipFile(buffer, "w") as z:
+                for name, text in members.items():
+                    z.writestr(name, text)
+            made.append(buffer.getvalue())
+        return pa.array(made, pa.binary())
+
+    return make(entries)
+
+
+@query(f"""with {_BOOK} select source_id, chapter_id, cast("index" as int) "index", path href from kept""")
+def package_spine(spark, d):
+    """Item references joined to the manifest and numbered, as tables."""
+    s = _spine(spark, d)
+    manifest = s.where("not dangling").select("source_id", F.col("chapter_id").alias("id"), "href", "media_type", "properties")
+    refs = s.select("source_id", F.col("chapter_id").alias("idref"), "chapter_index")
+    return epub.spine(refs, manifest, ["source_id"], ["chapter_index", "idref"]).select("source_id", F.col("idref").alias("chapter_id"), "index", "href")
+
+
+@query("""with c as (select chapter_id, any_value(href) h from chapters group by chapter_id)
+select chapter_id, (not chapter_id % 7 = 0) and case when chapter_id % 5 > 0 then chapter_id % 5 in (1, 2) else suffix(lower(h), '.xhtml') or suffix(lower(h), '.html') or suffix(lower(h), '.htm') end is_content from c""")
+def content_documents(spark, d):
+    c = delivered_once(read(spark, d, "chapters"), ["chapter_id"], "href")
+    kind = F.element_at(F.array(*map(F.lit, ("", " TEXT/html", "application/xhtml+xml", "image/png", "text/css"))), F.pmod("chapter_id", F.lit(5)).cast("int") + 1)
+    return c.select("chapter_id", epub.content_document(F.col("href"), kind, F.when(F.pmod("chapter_id", F.lit(7)) == 0, "nav x")).alias("is_content"))
+
+
+@query("select chapter_id, 'OEBPS/a b/' || any_value(href) path from chapters group by chapter_id")
+def resolved_hrefs(spark, d):
+    c = delivered_once(read(spark, d, "chapters"), ["chapter_id"], "href")
+    ref = F.concat(F.lit("../x/.././a%20b/"), "href", F.lit("#p"), F.col("chapter_id").cast("string"))
+    return c.select("chapter_id", epub.resolved(F.lit("OEBPS/text"), ref).alias("path"))
+
+
+@query("""with s as (select source_id, pos, any_value(text) text from sentences where source_id is not null and pos is not null and text is not null group by all)
+select source_id, cast(row_number() over (partition by source_id order by pos) - 1 as int) pos, text from s""")
+def artifact_records(spark, d):
+    """The sentences of every source written as an artifact and read back."""
+    s = delivered_once(read(spark, d, "sentences").where("source_id is not null and pos is not null and text is not null"), ["source_id", "pos"], "text")
+    docs = s.groupBy("source_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]).alias("sentences"))
+    body = F.to_json(F.struct(F.lit(art.SCHEMA_VERSION).alias("schema_version"), "sentences"))
+    return art.records(docs.select("source_id", body.alias("body")), "source_id", "body", "sentences").select("source_id", "pos", F.col("record").alias("text"))
+
+
+@query(f"""with {_LINES}, r as (select line_id, line::json j from st where status = 'record'),
+w as (select line_id, json_type(j, '$.words') = 'ARRAY' listed, case when json_type(j, '$.words') = 'ARRAY' then (j->'$.words')::json[] end ws from r),
+e as (select line_id, x, coalesce(json_type(x) = 'OBJECT' and json_type(x, '$.lemma') = 'VARCHAR' and {_squeeze("x->>'$.lemma'")} <> '' and json_type(x, '$.word_type') = 'VARCHAR' and x->>'$.word_type' <> ''
+ and (x->>'$.article' is null or x->>'$.article' in ('der', 'die', 'das')), false) ok from (select line_id, unnest(ws) x from w where listed))
+select line_id, case when coalesce(listed, false) and coalesce(good, true) then coalesce(n, 0) end n_words
+from w left join (select line_id, bool_and(ok) good, count(distinct {_norm("x->>'$.lemma'")} || chr(1) || (x->>'$.word_type')) n from e group by 1) using (line_id)""")
+def valid_answers(spark, d):
+    """How many words a checked answer has, null where it is refused."""
+    lines = _lines(spark, d).where("status = 'record'")
+    got = va.word_answers(F.col("line"))
+    return lines.select("line_id", got.alias("a")).select("line_id", F.when(F.col("a.error").isNull(), F.size("a.words").cast("long")).alias("n_words"))
+
+
+@query(f"""select doc_id, case when doc_id % 4 = 0 then null else kind end kind, case when doc_id % 4 = 0 then null else 1 - doc_id % 2 = 0 end is_content,
+case when doc_id % 4 = 0 then 0 when {_squeeze("coalesce(title, '')")} = '' then 1 else 2 end n_sentences from documents""")
+def valid_verdicts(spark, d):
+    """Verdicts made of documents, a fourth of them with a flag that is none."""
+    flag = F.when(F.pmod("doc_id", F.lit(4)) == 0, "1").otherwise(F.when(F.pmod("doc_id", F.lit(2)) == 1, "true").otherwise("false"))
+    body = F.concat(F.lit('{"is_content":'), flag, F.lit(","), F.expr("substring(to_json(struct(kind, array(coalesce(title, ''), 'x') as sentences)), 2)"))
+    got = read(spark, d, "documents").select("doc_id", va.chapter_answers(body).alias("a"))
+    return got.select("doc_id", "a.kind", "a.is_content", F.when(F.col("a.error").isNull(), F.size("a.sentences")).otherwise(0).cast("long").alias("n_sentences"))
+
+
+@query("""select event_id, case event_id % 6 when 0 then null when 1 then 'cut off' when 2 then 'refused' when 3 then 'no content' when 4 then 'no valid JSON' else 'unexpected response' end problem,
+case when event_id % 6 = 0 then '"' || event_type || '"' end answer from events""")
+def completions(spark, d):
+    """Responses made of events, with each way to be unusable, taken apart."""
+    e = read(spark, d, "events")
+    message = F.element_at(F.array(*[F.lit(x) for x in ('"content":"\\"?\\""', '"content":"{}"', '"refusal":"no","content":"1"', '"content":""', '"content":"{"')]), F.least(F.pmod("event_id", F.lit(6)), F.lit(4)).cast("int") + 1)
+    choice = F.concat(F.lit('{"choices":[{'), F.when(F.pmod("event_id", F.lit(6)) == 1, '"finish_reason":"length",').otherwise(""), F.lit('"message":{'), F.replace(message, F.lit("?"), F.col("event_type")), F.lit("}}]}"))
+    got = va.completions(F.when(F.pmod("event_id", F.lit(6)) == 5, '{"choices":[]}').otherwise(choice))
+    problem = F.regexp_extract("a.error", "cut off|refused|no content|no valid JSON|unexpected response", 0)
+    return e.select("event_id", got.alias("a")).select("event_id", problem.alias("problem"), "a.answer")
+
+
+@query(f"""with {_WORDS}, {_KEYS}, u as (select *, {_fold('lemma')} lemma_key from w where lemma is not null and text is not null and not exists (select 1 from keys where key = {_norm('lemma')}))
+select source_id, lemma_key, word_type, text, min(sw_id) sw_id from u group by all""")
+def example_rows(spark, d):
+    """The examples of every entry as rows, each with the sentence that it is first seen in."""
+    rows = wl.example_rows(words_once(spark, d), ["source_id"], known_keys(spark, d))
+    return rows.select("source_id", "lemma_key", "word_type", "text", F.col("at.s_ord").alias("sw_id"))

@@ -93,19 +93,35 @@ def sentence_word_rows(payload: dict, path: str | Path = "sentence-words") -> li
     return rows
 
 
+def _fields(kind: str, header: str) -> str:
+    key, schema = RECORDS[kind]
+    return f"schema_version int, {header + ', ' if header else ''}{key} {schema}"
+
+
+def _listed(docs: DataFrame, name: str, kind: str, extra: list[str]) -> DataFrame:
+    """(name, extra, pos, record) of parsed artifacts; a wrong version or a missing list fails the query."""
+    key, schema = RECORDS[kind]
+    wrong = F.raise_error(F.concat(F.col(name).cast("string"), F.lit(": schema_version "), F.coalesce(F.col("schema_version").cast("string"), F.lit("missing"))))
+    missing = F.raise_error(F.concat(F.col(name).cast("string"), F.lit(f": expected a {key!r} list")))
+    listed = F.when(F.coalesce(F.col("schema_version"), F.lit(-1)) != SCHEMA_VERSION, wrong.cast(schema)).when(F.col(key).isNull(), missing.cast(schema)).otherwise(F.col(key))
+    return docs.select(name, *extra, F.posexplode(listed).alias("pos", "record"))
+
+
 def scan(spark: SparkSession, paths: str | list[str], kind: str, header: str = "") -> DataFrame:
     """Records of any number of artifacts, with file and position, distributed; wrong versions fail the query.
 
     header: further scalar columns in DDL, such as 'llm_model string'.
     """
-    key, schema = RECORDS[kind]
-    fields = f"schema_version int, {header + ', ' if header else ''}{key} {schema}"
     extra = [part.split()[0] for part in header.split(",") if part.strip()]
-    docs = spark.read.schema(fields).option("multiLine", True).option("mode", "FAILFAST").json(paths).withColumn("file", F.input_file_name())
-    wrong = F.raise_error(F.concat(F.col("file"), F.lit(": schema_version "), F.coalesce(F.col("schema_version").cast("string"), F.lit("missing"))))
-    missing = F.raise_error(F.concat(F.col("file"), F.lit(f": expected a {key!r} list")))
-    listed = F.when(F.coalesce(F.col("schema_version"), F.lit(-1)) != SCHEMA_VERSION, wrong.cast(schema)).when(F.col(key).isNull(), missing.cast(schema)).otherwise(F.col(key))
-    return docs.select("file", *extra, F.posexplode(listed).alias("pos", "record"))
+    docs = spark.read.schema(_fields(kind, header)).option("multiLine", True).option("mode", "FAILFAST").json(paths).withColumn("file", F.input_file_name())
+    return _listed(docs, "file", kind, extra)
+
+
+def records(docs: DataFrame, name: str, body: str, kind: str, header: str = "") -> DataFrame:
+    """scan() of artifacts that are given as text in a column, name tells them apart."""
+    extra = [part.split()[0] for part in header.split(",") if part.strip()]
+    parsed = docs.select(name, F.from_json(body, _fields(kind, header), {"mode": "FAILFAST"}).alias("_d")).select(name, "_d.*")
+    return _listed(parsed, name, kind, extra)
 
 
 def cached(output: str | Path, force: bool) -> bool:

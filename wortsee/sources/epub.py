@@ -7,16 +7,19 @@ import logging
 import posixpath
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import BadInput
 from ..functions.markup import decode, parse_document
 from ..operators.chapters import parse_selection
+from ..operators.checkpoint import numbered
 
 # Names of the container format.
 CONTAINER, ENCRYPTION = "META-INF/container.xml", "META-INF/encryption.xml"
@@ -104,13 +107,15 @@ def read_book(data: bytes, name: str, wanted: list[tuple[int, int]] | None = Non
     return said, rows
 
 
-def scan(spark: SparkSession, path: str | list[str], selection: str | None = None, on_error: str = "fail") -> DataFrame:
-    """Content documents of the books at a path or glob, one task for some books at a time.
+_FIELDS = pa.schema([("file", pa.string()), ("book_title", pa.string()), ("author", pa.string()), ("language", pa.string()), ("index", pa.int32()), ("href", pa.string()), ("title", pa.string()), ("chars", pa.int64()), ("html", pa.string()), ("error", pa.string())])
+
+
+def read_books(files: DataFrame, selection: str | None = None, on_error: str = "fail") -> DataFrame:
+    """Content documents of the books in files (path, content).
 
     on_error: 'fail', or 'row' for a row with the message in error where a book can't be read.
     """
     wanted = parse_selection(selection) if selection else None
-    schema = pa.schema([("file", pa.string()), ("book_title", pa.string()), ("author", pa.string()), ("language", pa.string()), ("index", pa.int32()), ("href", pa.string()), ("title", pa.string()), ("chars", pa.int64()), ("html", pa.string()), ("error", pa.string())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,13 +125,45 @@ def scan(spark: SparkSession, path: str | list[str], selection: str | None = Non
                 except ValueError as e:
                     if on_error == "fail":
                         raise
-                    yield pa.RecordBatch.from_pylist([{"file": row["path"], "error": str(e)}], schema)
+                    yield pa.RecordBatch.from_pylist([{"file": row["path"], "error": str(e)}], _FIELDS)
                     continue
                 names = ("index", "href", "title", "chars", "html")
                 same = {"file": row["path"], "book_title": said["title"], "author": said["creator"], "language": said["language"]}
-                yield pa.RecordBatch.from_pylist([same | dict(zip(names, f)) for f in found], schema)
+                yield pa.RecordBatch.from_pylist([same | dict(zip(names, f)) for f in found], _FIELDS)
+
+    return files.select("path", "content").mapInArrow(read, SCHEMA)
+
+
+def scan(spark: SparkSession, path: str | list[str], selection: str | None = None, on_error: str = "fail") -> DataFrame:
+    """read_books() of the files at a path or glob, one task for some books at a time."""
+    return read_books(spark.read.format("binaryFile").load(path), selection, on_error)
+
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(read, SCHEMA)
+def resolved(folder: Column, href: Column) -> Column:
+    """member_path() of columns."""
+
+    @F.arrow_udf("string")
+    def run(folders: pa.Array, hrefs: pa.Array) -> pa.Array:
+        return pa.array([None if f is None or h is None else member_path(f, h) for f, h in zip(folders.to_pylist(), hrefs.to_pylist())], pa.string())
+
+    return run(folder, href)
+
+
+def content_document(href: Column, media_type: Column, properties: Column) -> Column:
+    """is_content() of columns, natively; properties as written, parted by white space."""
+    nav = F.array_contains(F.split(F.trim(F.coalesce(properties, F.lit(""))), r"\s+"), "nav")
+    kind = F.lower(F.trim(F.coalesce(media_type, F.lit(""))))
+    suffix = reduce(or_, (F.lower(href).endswith(x) for x in SUFFIXES))
+    return ~nav & F.when(kind != "", kind.isin(*sorted(MEDIA_TYPES))).otherwise(suffix)
+
+
+def spine(itemrefs: DataFrame, manifest: DataFrame, group: list[str], order: list[str], ref: str = "idref", item: str = "id") -> DataFrame:
+    """Manifest items in reading order with index, their place among the content documents.
+
+    itemrefs (group, order, ref), manifest (group, item, href, media_type, properties); references that the manifest lacks leave.
+    """
+    items = manifest.where(content_document(F.col("href"), F.col("media_type"), F.col("properties"))).withColumnRenamed(item, ref)
+    return numbered(itemrefs.join(items, [*group, ref]), group, order)
 
 
 def format_chapters(rows: list[tuple[int, str, str, int, str]]) -> str:
