@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS_CLASS, once, table
+from .common import WS_CLASS, table
 
 #: Entries that a reference list may have; it is held whole in every Python worker.
 MAX_LIST = 200_000
@@ -172,6 +172,8 @@ def slip_cost(a: str, b: str, most: float) -> float:
     if i or j:
         a, b = a[i : la - j], b[i : lb - j]
         la, lb = len(a), len(b)
+    # A way that leaves the band takes more letters in or out than `most` allows.
+    band = int(most / 0.6) + 1
     before2: list[float] = []
     before = [0.0] * (lb + 1)
     for j in range(1, lb + 1):
@@ -179,9 +181,11 @@ def slip_cost(a: str, b: str, most: float) -> float:
     for i in range(1, la + 1):
         x = a[i - 1]
         twin = i > 1 and x == a[i - 2]
-        row = [before[0] + (0.6 if twin else 1.0)]
+        row = [99.0] * (lb + 1)
+        if i <= band:
+            row[0] = before[0] + (0.6 if twin else 1.0)
         low = row[0]
-        for j in range(1, lb + 1):
+        for j in range(max(1, i - band), min(lb, i + band) + 1):
             y = b[j - 1]
             if x == y:
                 c = before[j - 1]
@@ -197,7 +201,7 @@ def slip_cost(a: str, b: str, most: float) -> float:
                     d = before2[j - 2] + 0.8
                     if d < c:
                         c = d
-            row.append(c)
+            row[j] = c
             if c < low:
                 low = c
         if low > most:
@@ -435,18 +439,18 @@ def _list(spark: SparkSession, sf_dir: str) -> list[tuple[int, str]]:
 
 
 def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cards = once(table(spark, sf_dir, "known_words"), ["card_id"], ["entry"]).select(F.lit("known_words").alias("origin"), F.col("card_id").alias("record_id"), F.lit(0).alias("word_no"), F.col("entry").alias("value"))
-    sw = table(spark, sf_dir, "sentence_words").select("sw_id", F.col("words.lemma").alias("lemmas"))
-    words = once(sw, ["sw_id"], ["lemmas"]).select(F.lit("sentence_words").alias("origin"), F.col("sw_id").alias("record_id"), F.posexplode("lemmas").alias("p", "value"))
+    """Every value with its place; a record that was delivered again has the same values, which fall to one at the end."""
+    cards = table(spark, sf_dir, "known_words").where("card_id is not null").select(F.lit("known_words").alias("origin"), F.col("card_id").alias("record_id"), F.lit(0).alias("word_no"), F.col("entry").alias("value"))
+    words = table(spark, sf_dir, "sentence_words").where("sw_id is not null").select(F.lit("sentence_words").alias("origin"), F.col("sw_id").alias("record_id"), F.posexplode("words.lemma").alias("p", "value"))
     return cards.unionByName(words.select("origin", "record_id", (F.col("p") + 1).alias("word_no"), "value"))
 
 
 def p1_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return map_values(_values(spark, sf_dir), "value", _list(spark, sf_dir), "headword_id").select("origin", "record_id", "word_no", "value", "headword_id")
+    return map_values(_values(spark, sf_dir), "value", _list(spark, sf_dir), "headword_id").select("origin", "record_id", "word_no", "value", "headword_id").distinct()
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p1_values(spark, sf_dir).drop("value")
+    return map_values(_values(spark, sf_dir), "value", _list(spark, sf_dir), "headword_id").select("origin", "record_id", "word_no", "headword_id").distinct()
 
 
 def p1_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
