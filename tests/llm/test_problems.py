@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,24 @@ from wortsee.llm import p1_canon, p2_terms, p3_scans, p4_sentences, p5_copies, p
 EXTRA = ", text2 string, _t string, k long, h long"  # further columns with names that operators use
 
 
+# ---- shared folders
+
+
+def test_intermediate_tables_need_a_shared_folder(spark, monkeypatch, tmp_path):
+    from wortsee.llm import common
+
+    class Session:
+        conf, sparkContext = type("C", (), {"get": staticmethod(lambda *a: None)}), type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="share"):
+        common.shared_dir(Session)
+    df = common.cut(spark.range(5))
+    path = common._made[-1][1].removeprefix("file://")
+    assert df.count() == 5 and Path(path).exists()
+    common.release()
+    assert not Path(path).exists() and not common._made
+
+
 # ---- 1
 
 
@@ -225,6 +244,15 @@ def test_evidence_of_other_blocks_decides(spark):
         assert got == expected, [whole[a:b] for a, b in zip([0, *got], got)]
 
 
+def test_gaps_at_block_edges_end_no_sentence(spark):
+    texts = {0: "Der Hund läuft.", 7: "Die Katze sieht", 30: "den Mond. Er ist rund.", 39: "Dann geht sie.", 60: "Ende"}
+    rows = spark.createDataFrame([("s", 1, k, t) for k, t in texts.items()], "origin string, source_id long, key int, text string")
+    text = " ".join(texts.values())
+    expected = [text.index(x) + len(x) for x in ("läuft.", "Mond.", "rund.", "sie.", "Ende")]
+    for size in (8, 1 << 20):
+        assert sorted(r["end_pos"] for r in p4_sentences.sentence_ends(rows, size=size, context=2).collect()) == expected
+
+
 def test_long_tokens_are_judged_by_all_places(spark):
     texts = ["Im Handelsregister steht die Zeitschr. Meridian seit heute.", "Dort fand er die Zeitschr. für Kunde und die Zeitschr. der Stadt.", "Der Unterabschnittsverz. Meridian lag dort.", "Er nahm das Unterabschnittsverz. und das Unterabschnittsverz. der Stadt mit.", "Der Hund schläft. Die Katze schläft. Das Kind schläft."]
     text, at, expected = " ".join(texts), 0, []
@@ -258,6 +286,11 @@ def test_copies_equal_brute_force(spark):
     assert p5_copies.copies(p5_copies.tuples(df.limit(0), "o", "i", "s", {"t": p5_copies.text_tuple})).count() == 0
 
 
+def test_ids_have_128_bits():
+    ids = {p5_copies.value_id("text", str(i)) for i in range(2000)}
+    assert len(ids) == 2000 and len({a for a, _ in ids}) == len({b for _, b in ids}) == 2000 and p5_copies.value_id("a", "b") != p5_copies.value_id("a", None)
+
+
 def test_lines_are_alike_whatever_the_order_of_fields():
     a = p5_copies.line_tuple('{"text":"Der Hund.","words":[{"lemma":"Hund","word_type":"noun","article":"der"},{"lemma":"x","word_type":"y","article":null}]}')
     b = p5_copies.line_tuple('{"words":[{"article":"der","lemma":"HUND ","word_type":"noun"},{"lemma":"X","word_type":"y"}],"text":"der hund"}')
@@ -320,7 +353,8 @@ def test_offsets_beside_the_ids(spark):
 
 
 @pytest.mark.parametrize("capacity", [1, 7, 100])
-def test_packing(spark, capacity):
+def test_packing(spark, capacity, monkeypatch):
+    monkeypatch.setattr(p8_pack, "ITEMS_A_BUCKET", 20)
     rnd = random.Random(capacity)
     rows = [(i, rnd.choice([None, 0, 3, 3, 3, capacity, rnd.randrange(1, 3 * capacity + 2)]), "e", 1, 2) for i in range(500)] + [(1, 3, "e", 1, 2)]
     df = spark.createDataFrame(rows, "id long, n int, piece string, rest long, k long")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
 import uuid
 
 import numpy as np
@@ -42,21 +44,40 @@ def once(df: DataFrame, key: list[str], keep: list[str]) -> DataFrame:
     )
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder in the shared folder of spark.checkpoint.dir; a local default only where that is unset, as in tests."""
+    """A new folder in the shared folder of spark.checkpoint.dir; a local one only in local mode where that is unset, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.gettempdir() + "/wortsee-checkpoints"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(release)
+    _made.append((spark, path))
+    return path
+
+
+def release() -> None:
+    """Delete the folders that cut() has made so far; their tables must no longer be read. Done when the driver ends, at the latest."""
+    while _made:
+        spark, path = _made.pop()
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: S110 - the session has ended
+            pass
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage: write the rows once to the shared folder and read them from there.
 
     Unlike localCheckpoint it survives the loss of executors. The schema is
-    given when reading, so empty tables and changed nullability are safe.
+    given when reading, so empty tables and changed nullability are safe. The
+    folder stays until release() or the end of the driver.
     """
     spark = df.sparkSession
     path = shared_dir(spark)

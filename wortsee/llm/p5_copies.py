@@ -1,16 +1,17 @@
 """Problem 5: duplicates hidden by formatting differences.
 
 Each distinct value of a batch is canonicalised once (dictionary encoding), and
-gets a 64-bit integer id of field name and canonical value, the same in every
-task. A record becomes the sorted tuple of its field-value ids, so the order of
+gets an integer id of field name and canonical value, 128 bits as two longs, the
+same in every task, so no dictionary of the whole collection has to be shared
+or joined. A record becomes the sorted tuple of its field-value ids, so the order of
 fields has no meaning while the place of a list element is part of its field
 name. Records are alike if group (here the source) and tuple are equal; the
 tuples are written once and grouped with map-side combining, and only groups
 with several keys meet their records again, in a join whose skewed side can be
 split by AQE.
 
-Two different values share an id with a probability of 2**-64; only a collision
-inside one source could join different records.
+Two of ten thousand million different values share an id with a probability
+below 10**-18, and only inside one source could that join different records.
 
 Defined results: rows without a record key are no records; a null group is a
 group of its own; values that are null, torn JSON and JSON that is no object
@@ -21,9 +22,11 @@ common; redelivered rows are one record.
 from __future__ import annotations
 
 import json
+import struct
 import unicodedata
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +35,9 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 TUPLES = "origin string, group_id long, key long, ids array<long>"
-_kept: dict[str, bool] = {}
+
+#: Id of a value: two longs.
+Id = tuple[int, int]
 
 
 class _Drop(dict):
@@ -51,21 +56,24 @@ def letters(text: str) -> str:
     return unicodedata.normalize("NFC", text).casefold().translate(_DROP)
 
 
-def value_id(field: str, value: str | None) -> int:
-    """64-bit id of a canonical value of a field; null is a value of its own."""
+_TWO_LONGS = struct.Struct("<qq")
+
+
+def value_id(field: str, value: str | None) -> Id:
+    """128-bit id of a canonical value of a field; null is a value of its own."""
     said = field + ("\1" if value is None else "\2" + value)
-    return int.from_bytes(blake2b(said.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    return _TWO_LONGS.unpack(blake2b(said.encode("utf-8", "surrogatepass"), digest_size=16).digest())
 
 
-def text_tuple(text: str | None) -> list[int] | None:
+def text_tuple(text: str | None) -> list[Id] | None:
     return None if text is None else [value_id("text", letters(text))]
 
 
-def lemma_tuple(lemma: str | None) -> list[int] | None:
+def lemma_tuple(lemma: str | None) -> list[Id] | None:
     return None if lemma is None or not lemma.strip() else [value_id("lemma", letters(lemma))]
 
 
-def line_tuple(line: str | None) -> list[int] | None:
+def line_tuple(line: str | None) -> list[Id] | None:
     """Ids of a checkpoint line: text and, by place, the letters of lemma, word type and article of each word."""
     try:
         got = json.loads(line or "")
@@ -87,11 +95,11 @@ def line_tuple(line: str | None) -> list[int] | None:
     return sorted(ids)
 
 
-def type_tuple(word_type: str | None) -> list[int]:
+def type_tuple(word_type: str | None) -> list[Id]:
     return [value_id("word_type", word_type)]
 
 
-def tuples(df: DataFrame, origin: str, key: str, group: str, fields: dict[str, Callable[[str | None], list[int] | None]]) -> DataFrame:
+def tuples(df: DataFrame, origin: str, key: str, group: str, fields: dict[str, Callable[[str | None], list[Id] | None]]) -> DataFrame:
     """Records as sorted integer tuples. fields: for each column what makes its ids; None makes the record no case."""
     makers = list(fields.values())
 
@@ -102,11 +110,8 @@ def tuples(df: DataFrame, origin: str, key: str, group: str, fields: dict[str, C
                 coded = col.dictionary_encode(null_encoding="encode")
                 made = [make(v) for v in coded.dictionary.to_pylist()]
                 columns.append([made[i] for i in coded.indices.to_pylist()])
-            if len(columns) == 1:
-                ids = columns[0]
-            else:
-                ids = [None if any(p is None for p in parts) else sorted(x for p in parts for x in p) for parts in zip(*columns)]
-            made = pa.array(ids, pa.list_(pa.int64()))
+            rows = ([p[0] if len(p) == 1 else None if None in p else sorted(chain(*p)) for p in zip(*columns)])
+            made = pa.array([None if r is None else [*chain(*r)] for r in rows], pa.list_(pa.int64()))
             rows = pa.RecordBatch.from_arrays([pa.array([origin] * len(made)), b.column(0), b.column(1), made], names=["origin", "group_id", "key", "ids"])
             yield rows.filter(made.is_valid())
 

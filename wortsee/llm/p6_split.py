@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import once, table
 
@@ -146,7 +147,21 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("chapter_id", "piece", "p.start", "p.stop", "p.cut", F.expr("substring(html, p.start + 1, p.stop - p.start)").alias("text"))
 
 
+def p6_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each chapter what its pieces cover from the beginning without a gap, pieces over the limit, overlaps over theirs, and pieces out of order."""
+    p = _split_chapters(spark, sf_dir).select("chapter_id", F.explode("split.pieces").alias("p")).select("chapter_id", "p.*")
+    before = Window.partitionBy("chapter_id").orderBy("start")
+    shared = F.lag("stop").over(before) - F.col("start")
+    sums = p.withColumn("shared", F.coalesce(shared, F.lit(0))).groupBy("chapter_id")
+    return sums.agg(
+        F.sum(F.col("stop") - F.col("start") - F.col("shared")).cast("long").alias("covered"), F.count_if(F.col("stop") - F.col("start") > LIMIT).alias("too_long"),
+        F.count_if((F.col("shared") > OVERLAP) | (F.col("shared") < 0)).alias("bad_overlaps"), F.max("stop").cast("long").alias("ends"),
+    )
+
+
 SQL = {
+    "p6_checked": """with c as (select chapter_id, any_value(html) html from chapters where length(html) > 6000 and chapter_id is not null group by chapter_id)
+select chapter_id, cast(length(html) as bigint) covered, cast(0 as bigint) too_long, cast(0 as bigint) bad_overlaps, cast(length(html) as bigint) ends from c""",
     "p6_found": r"""
 with c as (select chapter_id, any_value(html) html from chapters where length(html) > 6000 and chapter_id is not null group by chapter_id),
 s as (select chapter_id, unnest(string_split(regexp_replace(html, '<(p|div|h[1-6]|section|article)\b', chr(1) || '<\1', 'gi'), chr(1))) b from c)

@@ -3,11 +3,15 @@
 Pre-tokenisation works on code-point class arrays, without regex. The start of
 the run that each position belongs to is an associative scan: the transition
 function of a position either sets the start (class changes) or keeps it, and
-the composition of such functions is a running maximum. Bounded look-back rules
-(a blank joins the run after it, contractions) are shifted masks. The slices
-that result are offsets into the untouched UTF-8 buffer, so they are dictionary
-encoded without copying, and only distinct slices meet the cached pair merging.
-The offsets are what decoding needs: token bytes concatenate to the text.
+the composition of such functions is a running maximum. It tells runs of one
+sign from longer ones; the rules that look back or forward by a bounded number
+of places (a blank joins the run after it, contractions) are shifted masks on
+top of it. The slices that result are offsets into the untouched UTF-8 buffer,
+so they are dictionary encoded without copying, and only distinct slices meet
+the cached pair merging. token_ids_offsets() keeps the byte offset of each
+token, from which any part of a text can be decoded by itself.
+
+The vocabulary file is read on the driver and broadcast (under 1 MB).
 
 Defined results: null and empty texts give an empty list; blank texts are
 encoded as they are; special-token strings are ordinary text.
@@ -18,9 +22,11 @@ from __future__ import annotations
 import base64
 import sys
 import unicodedata
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +43,7 @@ WHITE_SPACE = ((0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680,
 
 _classes: np.ndarray | None = None
 _coders: dict[str, "Coder"] = {}
+_shipped: dict[tuple[str, str], Broadcast] = {}
 
 
 def classes() -> np.ndarray:
@@ -74,7 +81,8 @@ def slice_starts(cp: np.ndarray, row_start: np.ndarray) -> np.ndarray:
     joined[1:] = (tail & (cp == 32))[:-1]
     start &= ~joined
     # Contractions: an apostrophe alone between texts, not after a blank, takes the letters of its ending along.
-    quote = np.flatnonzero((cp == 39) & change & last & ~joined & ~row_end)
+    alone = (run_starts(change) == np.arange(n)) & last
+    quote = np.flatnonzero((cp == 39) & alone & ~joined & ~row_end)
     if len(quote):
         first = cp[quote + 1]
         # Not cut by the end of the text, for the next code point belongs to the same one (~row_end).
@@ -94,9 +102,8 @@ def slice_starts(cp: np.ndarray, row_start: np.ndarray) -> np.ndarray:
 class Coder:
     """Pair merging over the ranks of a vocabulary file, with a cache of merged slices."""
 
-    def __init__(self, path: str) -> None:
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    def __init__(self, vocabulary: bytes) -> None:
+        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.cache: dict[bytes, list[int]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
@@ -155,12 +162,22 @@ class Coder:
         return out
 
 
-def coder(path: str) -> Coder:
+def coder(path: str, shipped: Broadcast | None = None) -> Coder:
+    """The coder of a vocabulary, made once a worker, from what was shipped if anything was."""
     if path not in _coders:
-        _coders[path] = Coder(path)
+        _coders[path] = Coder(Path(path).read_bytes() if shipped is None else shipped.value)
     return _coders[path]
 
 
+def shipped_vocabulary(path: str) -> Broadcast:
+    """A vocabulary file as a broadcast, once for each session's context."""
+    context = SparkSession.active().sparkContext
+    key = (context.applicationId, path)
+    if key not in _shipped:
+        _shipped[key] = context.broadcast(Path(path).read_bytes())
+    return _shipped[key]
+
+
 def slices_of(data: np.ndarray, off: np.ndarray):
     """Byte offsets at which slices start, with the end of the data last."""
     cp, at = code_points(data)
@@ -169,10 +186,10 @@ def slices_of(data: np.ndarray, off: np.ndarray):
     return np.append(at[slice_starts(cp, row_start[at])], len(data))
 
 
-def encode(arr, path: str, count_only: bool = False):
+def encode(arr, path: str, count_only: bool = False, shipped: Broadcast | None = None):
     """Token ids (or their number) of each text of an Arrow string array."""
     off, data = text_buffers(arr)
-    code = coder(path)
+    code = coder(path, shipped)
     ids_out, n_out = [], []
     for i, j in chunks(off, CHUNK_BYTES):
         part, rows = data[off[i] : off[j]], off[i : j + 1] - off[i]
@@ -202,26 +219,30 @@ def encode(arr, path: str, count_only: bool = False):
 
 def token_ids(text: Column, vocabulary: str = VOCABULARY) -> Column:
     """Column of token ids of a text column; null and empty texts give an empty list."""
+    shipped = shipped_vocabulary(vocabulary)
+
     @F.arrow_udf("array<int>")
     def encode_ids(arr: pa.Array) -> pa.Array:
-        return encode(arr, vocabulary)
+        return encode(arr, vocabulary, shipped=shipped)
 
     return encode_ids(text)
 
 
 def token_count(text: Column, vocabulary: str = VOCABULARY) -> Column:
     """Column of the number of tokens of a text column; 0 for null and empty texts."""
+    shipped = shipped_vocabulary(vocabulary)
+
     @F.arrow_udf("int")
     def count_ids(arr: pa.Array) -> pa.Array:
-        return encode(arr, vocabulary, count_only=True)
+        return encode(arr, vocabulary, True, shipped)
 
     return count_ids(text)
 
 
-def encode_with_offsets(arr, path: str):
+def encode_with_offsets(arr, path: str, shipped: Broadcast | None = None):
     """Token ids of each text, and the byte of its UTF-8 form at which each token begins."""
-    ids = encode(arr, path)
-    code = coder(path)
+    ids = encode(arr, path, shipped=shipped)
+    code = coder(path, shipped)
     if getattr(code, "sizes", None) is None:
         code.sizes = np.zeros(max(code.ranks.values()) + 1, np.int64)
         for b, i in code.ranks.items():
@@ -234,9 +255,11 @@ def encode_with_offsets(arr, path: str):
 
 def token_ids_offsets(text: Column, vocabulary: str = VOCABULARY) -> Column:
     """Column of (ids, offsets) of a text column: as token_ids(), with the byte offset of each token in the text."""
+    shipped = shipped_vocabulary(vocabulary)
+
     @F.arrow_udf("struct<ids:array<int>,offsets:array<int>>")
     def encode_offsets(arr: pa.Array) -> pa.Array:
-        return encode_with_offsets(arr, vocabulary)
+        return encode_with_offsets(arr, vocabulary, shipped)
 
     return encode_offsets(text)
 

@@ -27,8 +27,8 @@ from .common import cut, table
 from .p7_tokens import VOCABULARY, token_count
 
 CAPACITY = 2048
-#: Buckets by which items of one length are ranked apart.
-RANK_BUCKETS = 256
+#: Buckets by which items of one length are ranked apart, at least, and items of the whole that a further bucket is made for.
+RANK_BUCKETS, ITEMS_A_BUCKET = 256, 1_000_000
 
 PLAN = "size int, lo long, hi long, per long, base long"
 
@@ -85,18 +85,21 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, bucket
     rest = cut(
         sized.withColumn("n_full", F.when(F.col("n") > capacity, F.floor(F.col("n") / capacity)).otherwise(F.lit(0)).cast("long"))
         .withColumn("rest", (F.col("n") - F.col("n_full") * capacity).cast("int"))
-        .withColumn("bucket", F.pmod(F.xxhash64("k"), F.lit(buckets)).cast("int"))
     )
+    buckets = max(buckets, rest.count() // ITEMS_A_BUCKET)
+    rest = rest.withColumn("bucket", F.pmod(F.xxhash64("k"), F.lit(buckets)).cast("int"))
     by_bucket = rest.groupBy("rest", "bucket").agg(F.count("*").alias("c"), F.sum("n_full").alias("f"))
     by_bucket = cut(by_bucket)
     counts = {r["rest"]: r["c"] for r in by_bucket.groupBy("rest").agg(F.sum("c").alias("c")).where("rest > 0").collect()}
     rows, used = plan_best_fit(counts, capacity)
     plan = spark.createDataFrame(rows, PLAN)
     before = Window.partitionBy("rest").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # At most capacity * buckets rows, so the window over full pieces needs no more than one small task.
+    # Full pieces before those of a length: at most `capacity` rows, so one small task; then before those of a bucket, by length.
+    by_length = by_bucket.groupBy("rest").agg(F.sum("f").alias("f")).withColumn("b0", F.coalesce(F.sum("f").over(Window.orderBy("rest").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     offsets = (
-        by_bucket.withColumn("r0", F.coalesce(F.sum("c").over(before), F.lit(0)))
-        .withColumn("f0", F.lit(used) + F.coalesce(F.sum("f").over(Window.orderBy("rest", "bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        by_bucket.join(by_length.drop("f"), "rest")
+        .withColumn("r0", F.coalesce(F.sum("c").over(before), F.lit(0)))
+        .withColumn("f0", F.lit(used) + F.col("b0") + F.coalesce(F.sum("f").over(before), F.lit(0)))
         .select("rest", "bucket", "r0", "f0")
     )
     within = Window.partitionBy("rest", "bucket").orderBy("k", "n_full")
@@ -123,3 +126,21 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, bucket
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", token_count(F.col("text"), VOCABULARY).alias("n_tok"))
     return pack(docs, "doc_id", "n_tok")
+
+
+#: Capacity of p8_chars, in code points.
+CHARS = 20_000
+
+
+def p8_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed by code points, each with its pieces, what they hold, and how full the fullest of their containers is beyond the capacity."""
+    packed = cut(pack(table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n")), "doc_id", "n", CHARS))
+    over = packed.groupBy("container").agg(F.greatest(F.sum("n_tokens") - CHARS, F.lit(0)).alias("over"))
+    sums = packed.join(over, "container").groupBy("doc_id")
+    return sums.agg(F.count("*").alias("n_pieces"), F.sum("n_tokens").cast("long").alias("n_chars"), F.countDistinct("container").alias("n_containers"), F.max("over").cast("long").alias("over"))
+
+
+SQL = {
+    "p8_chars": f"""with s as (select doc_id, cast(coalesce(length(text), 0) as bigint) n from documents), p as (select *, greatest(1, cast(ceil(n / {CHARS}) as bigint)) pieces from s)
+select doc_id, pieces n_pieces, n n_chars, pieces n_containers, cast(0 as bigint) "over" from p""",
+}

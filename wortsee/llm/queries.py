@@ -17,10 +17,12 @@ QUERIES = {
     "p5_records": p5_copies.p5_records,
     "p6_found": p6_split.p6_found,
     "p6_pieces": p6_split.p6_pieces,
+    "p6_checked": p6_split.p6_checked,
     "p7_ids": p7_tokens.p7_ids,
     "p8_containers": p8_pack.p8_containers,
+    "p8_chars": p8_pack.p8_chars,
     "p9_found": p9_reading.p9_found,
     "p9_levels": p9_reading.p9_levels,
 }
 
-SQL = {**p2_terms.SQL, **p5_copies.SQL, **p6_split.SQL}
+SQL = {**p2_terms.SQL, **p5_copies.SQL, **p6_split.SQL, **p8_pack.SQL}
