@@ -388,7 +388,8 @@ def read_levels(docs: DataFrame, text: str, model: Model | None) -> DataFrame:
         missing = np.isnan(got)
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(got, pa.float64(), mask=missing), pa.array(grade, pa.int32(), mask=missing)], fields=list(kind))
 
-    return docs.withColumn("reading", level(F.col(text)))
+    # Else filters on the result would be made of a second evaluation.
+    return docs.withColumn("reading", level.asNondeterministic()(F.col(text)))
 
 
 def _levels(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
