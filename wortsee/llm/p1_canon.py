@@ -429,7 +429,7 @@ def map_values(df: DataFrame, value: str, entries: list[tuple[int, str]], to: st
     cases = cases.join(F.broadcast(names), value, "left_anti")
     # Each distinct value is looked up once; small as they are, the values need all the cores.
     tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = cases.select(name).distinct().repartition(tasks, name).withColumn(to, find(F.col(name)))
+    found = cases.select(name).distinct().repartition(tasks, name).withColumn(to, find.asNondeterministic()(F.col(name)))  # else filters on the id would evaluate it again
     return cases.join(found, value)
 
 

@@ -129,7 +129,7 @@ def pieces_of(text, limit: int = LIMIT, overlap: int = OVERLAP):
         kind = pa.struct([("long_blocks", pa.int64()), ("pieces", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("cut", pa.string())])))])
         return pa.array(out, kind)
 
-    return cut_up(text)
+    return cut_up.asNondeterministic()(text)  # else each use of its fields may evaluate it again
 
 
 def _split_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
