@@ -250,3 +250,14 @@ def test_every_query_runs(spark, data):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_the_package_can_be_sent_to_executors(spark):
+    import zipfile as z
+
+    import wortsee
+
+    sent = []
+    wortsee.ship(type("S", (), {"sparkContext": type("C", (), {"addPyFile": staticmethod(sent.append)})}))
+    names = z.ZipFile(sent[0]).namelist()
+    assert "wortsee/__init__.py" in names and "wortsee/operators/extract.py" in names
