@@ -176,6 +176,13 @@ def test_scans_without_page_divs(spark, indented, line, furniture):
     assert len(p3_scans.paragraphs(p3_scans.furniture(html, [], [], [])[0])) == 1
 
 
+def test_heads_with_other_misreadings_are_near():
+    f = p3_scans.line_form
+    heads = {f("Der Schwalbensammlung"), f("Kapitel")}
+    assert p3_scans.near_one(f("Der Schwalbemsammlwng"), heads) and p3_scans.near_one(f("Dx Schwalbensammlung . . ."), heads)
+    assert not p3_scans.near_one(f("Der Schwalbenschwanz"), heads) and not p3_scans.near_one(f("Kapitol"), heads) and not p3_scans.near_one("", heads)
+
+
 def test_misreadings_share_a_form():
     for right, wrong in p3_scans.MISREADINGS:
         a, b = f"X{right}y", f"X{wrong}y"

@@ -3,7 +3,8 @@
 1. Page edges: the outermost lines of each page are brought to a form in which
    misread characters, spacing and leader dots make no difference. Lines whose
    form returns at the edges of other pages of the book, or is the title of the
-   chapter or book, are running heads. Numbers at page edges are furniture if
+   chapter or book, are running heads, and so are title-like lines whose form is
+   near one of these by the letter pairs that they share. Numbers at page edges are furniture if
    they count along with the pages: their distance to the page is the one most
    frequent in the book, or one that several pages share. A scan converted
    without page divs is known by its lines, which are filled up to one width
@@ -40,6 +41,8 @@ from .common import cut, once, table
 HEAD_LINES, FOOT_LINES = 2, 2
 #: Pages of a book on whose edges a line returns to be a running head without being a title.
 MIN_PAGES = 2
+#: Likeness from which a line is a head that returns with misreadings of other kinds, and letters that it has at least.
+NEAR, NEAR_LETTERS = 0.8, 8
 #: A word is misread if the word it comes from is so many times as frequent.
 TIMES = 5
 HYPHENS = "-‐‑¬=\xad"
@@ -139,7 +142,7 @@ def pages(markup: str) -> list[tuple[int, list[tuple[str, bool]]]]:
         pos, starts = 0, True
         for b in [*_BLOCK.finditer(body), None]:
             chunk = body[pos : b.start() if b else len(body)]
-            for raw in _BREAK.split(chunk):
+            for raw in _BREAK.split(chunk) if chunk and not chunk.isspace() else ():
                 text = _said(raw).strip()
                 if text:
                     lines.append((text, starts))
@@ -156,7 +159,8 @@ def flat_lines(markup: str) -> list[tuple[str, bool]]:
     """Lines of markup without page divs: the text, and whether it is indented."""
     out, pos, classed = [], 0, False
     for b in [*_BLOCK.finditer(markup), None]:
-        for k, raw in enumerate(_BREAK.split(markup[pos : b.start() if b else len(markup)])):
+        chunk = markup[pos : b.start() if b else len(markup)]
+        for k, raw in enumerate(_BREAK.split(chunk) if chunk and not chunk.isspace() else ()):
             said = _said(raw)
             if text := said.strip():
                 out.append((text, classed or (k > 0 and said[0].isspace())))
@@ -285,6 +289,19 @@ def _sentence_like(text: str) -> bool:
     return bool(_SENTENCE.search(text))
 
 
+@lru_cache(maxsize=50_000)
+def _pairs(shape: str) -> frozenset[str]:
+    return frozenset(a + b for a, b in zip(shape, shape[1:]))
+
+
+def near_one(shape: str, shapes: set[str]) -> bool:
+    """Whether a line's form is all but one of these: of like length, and alike by the Dice coefficient of their letter pairs."""
+    if len(shape) < NEAR_LETTERS:
+        return False
+    mine = _pairs(shape)
+    return any(abs(len(shape) - len(s)) <= 2 and 2 * len(mine & (p := _pairs(s))) >= NEAR * (len(mine) + len(p)) for s in shapes if len(s) >= NEAR_LETTERS)
+
+
 def _title_like(text: str) -> bool:
     """Whether a line may be a head that was never seen before: few words, the first capital, no sentence."""
     return not _sentence_like(text) and len(text.split()) <= 8 and not text[:1].islower()
@@ -303,7 +320,7 @@ def furniture(markup: str, titles: list[str | None], heads: list[str], distances
             for number, text in parts_of(lines[at][0]):
                 counts = bool(number) and (any(f"{kind}{v - no}" in known for kind, v in numbers_of(number)) if paged else (k, at) in places)
                 shape = line_form(text)
-                head = bool(shape) and (shape in title_forms or (shape in heads_set and not _sentence_like(text)))
+                head = bool(shape) and (shape in title_forms or (shape in heads_set and not _sentence_like(text)) or (_title_like(text) and near_one(shape, title_forms | heads_set)))
                 if counts and not text:
                     sure.add(at)
                     numbered.add(at)
