@@ -60,7 +60,9 @@ def classes() -> np.ndarray:
 
 def run_starts(change: np.ndarray) -> np.ndarray:
     """For each position the start of its run: the scan of set-or-keep transition functions."""
-    return np.maximum.accumulate(np.where(change, np.arange(len(change)), 0))
+    at = np.arange(len(change), dtype=np.int32)
+    at *= change
+    return np.maximum.accumulate(at, out=at)
 
 
 def slice_starts(cp: np.ndarray, row_start: np.ndarray) -> np.ndarray:
@@ -81,8 +83,9 @@ def slice_starts(cp: np.ndarray, row_start: np.ndarray) -> np.ndarray:
     joined[1:] = (tail & (cp == 32))[:-1]
     start &= ~joined
     # Contractions: an apostrophe alone between texts, not after a blank, takes the letters of its ending along.
-    alone = (run_starts(change) == np.arange(n)) & last
-    quote = np.flatnonzero((cp == 39) & alone & ~joined & ~row_end)
+    begin = run_starts(change)
+    quote = np.flatnonzero(cp == 39)
+    quote = quote[(begin[quote] == quote) & last[quote] & ~joined[quote] & ~row_end[quote]]
     if len(quote):
         first = cp[quote + 1]
         # Not cut by the end of the text, for the next code point belongs to the same one (~row_end).
