@@ -229,6 +229,18 @@ def test_sentences_of_scripts(spark, sentences):
     assert ends(spark, cut)[-1] == len(" ".join(t.strip() for t in cut if t.strip()))
 
 
+def test_quotations_and_brackets_of_any_length():
+    inner = "Der Hund bellt laut. Die Katze schläft. " * 60
+    for a, b in (("„", "“"), ("»", "«"), ("(", ")"), ("「", "」"), ("[a (b) ", "]")):
+        text = f"Er sagt: {a}{inner.strip()}{b} Dann geht er."
+        at = text.index(a)
+        assert (at, at + len(a) + len(inner.strip())) in p4_sentences.spans(text), a
+    # An opening sign that is followed by another of its kind was unpaired; so is a bracket that nothing closes.
+    text = "Er sagt „laut. Sie sagt: „Nein.“ Er (und. Ja. [x] 3) ist da. (Ende."
+    assert [text[a : b + 1] for a, b in p4_sentences.spans(text)] == ["„Nein.“", "(und. Ja. [x] 3)"]
+    assert p4_sentences.spans("(" * 50_000) == [] and p4_sentences.spans("„" * 50_000) == []
+
+
 def test_blocks_give_what_one_block_gives(spark):
     texts = [t for i in range(900) for t in (f"Der Hund {i} bellt laut. Am {i % 31}.", "Mai kommt Dr.", None, " ", "Meier und geht. Dann schläft der Hund.")]
     whole = ends(spark, texts, size=1 << 30)
