@@ -236,13 +236,30 @@ def test_command_line(tmp_path, capsys, monkeypatch):
 
 def test_answers_of_a_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.txt").write_text("Ein Hund.\nEin Hund.\nEin Rad.\n")
-    stream = lambda: spark.readStream.text(str(tmp_path / "in"))
-    answer_stream(stream(), "value", token_extractor, str(tmp_path / "answers"), str(tmp_path / "cp")).awaitTermination()
+    (tmp_path / "in" / "a.txt").write_text("Ein Hund.\nEin Hund.\nEin Rad.\nEin Dach.\n")
+    known = spark.createDataFrame([("Ein Dach.", [])], "text string, words array<struct<lemma:string,word_type:string,article:string>>")
+
+    def ask(text, what):
+        with open(tmp_path / "asked", "a") as f:
+            f.write(text + "\n")
+        if text == "Eine Uhr." and not (tmp_path / "well").exists():
+            raise RuntimeError("gone")
+        return token_extractor(text)
+
+    def go():
+        answer_stream(spark.readStream.text(str(tmp_path / "in")), "value", ask, str(tmp_path / "answers"), str(tmp_path / "cp"), known=known).awaitTermination()
+
+    go()
     (tmp_path / "in" / "b.txt").write_text("Ein Rad.\nEine Tür.\n")
-    answer_stream(stream(), "value", token_extractor, str(tmp_path / "answers"), str(tmp_path / "cp")).awaitTermination()
+    go()
+    (tmp_path / "in" / "c.txt").write_text("Eine Uhr.\nEin Hund.\n")
+    with pytest.raises(Exception, match="gone"):
+        go()
+    (tmp_path / "well").touch()
+    go()  # the batch that failed runs again
     got = [r["text"] for r in spark.read.parquet(str(tmp_path / "answers")).collect()]
-    assert sorted(got) == ["Ein Hund.", "Ein Rad.", "Eine Tür."]
+    assert sorted(got) == ["Ein Hund.", "Ein Rad.", "Eine Tür.", "Eine Uhr."]
+    assert sorted((tmp_path / "asked").read_text().splitlines()) == [*sorted(got), "Eine Uhr."]
 
 
 def test_every_query_runs(spark, data):
