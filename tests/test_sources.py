@@ -5,6 +5,7 @@ import zipfile
 
 import pytest
 
+from tests.model import Model
 from wortsee import cli
 from wortsee.errors import BadInput
 from wortsee.functions.markup import decode
@@ -234,6 +235,27 @@ def test_command_line(tmp_path, capsys, monkeypatch):
     assert cli.error_line(KeyError("x")) == "KeyError: 'x'" and cli.error_line(BadInput("a")) == "a" and cli.error_line(RuntimeError()) == "RuntimeError" and cli.error_line(ValueError("a")) == "ValueError: a"
 
 
+def test_the_words_stage_from_the_command_line(spark, tmp_path, monkeypatch, capsys):
+    model = Model()
+    monkeypatch.chdir(tmp_path)
+    art.write_document("s.json", {"schema_version": 1, "sentences": ["Ein Hund.", "Ein Rad.", "Ein Hund."]})
+    (tmp_path / ".env").write_text(f"OPENAI_API_KEY=k\nexport OPENAI_MODEL='m'\nOPENAI_BASE_URL={model.url.removesuffix('/chat/completions')}\n")
+    for name in ("OPENAI_API_KEY", "OPENAI_MODEL", "OPENAI_BASE_URL"):
+        monkeypatch.delenv(name, raising=False)
+    with monkeypatch.context() as m:
+        m.setattr(cli, "load_env", lambda: None)
+        assert cli.main(["words", "s.json", "-o", "w.json"]) == 1 and "OPENAI_MODEL is not set" in capsys.readouterr().err
+    try:
+        assert cli.main(["words", "s.json", "-o", "w.json", "--llm-rpm", "600", "--llm-concurrency", "2"]) == 0
+    finally:
+        model.server.shutdown()
+        for name in ("OPENAI_API_KEY", "OPENAI_MODEL", "OPENAI_BASE_URL"):
+            monkeypatch.delenv(name, raising=False)
+    w = art.read_document("w.json")
+    assert w["llm_model"] == "m" and [(s["text"], s["count"], [x["lemma"] for x in s["words"]]) for s in w["sentences"]] == [("Ein Hund.", 2, ["Ein", "Hund"]), ("Ein Rad.", 1, ["Ein", "Rad"])]
+    assert cli.main(["words", "s.json", "-o", "w2.json", "--llm-rpm", "0"]) == 1 and not (tmp_path / "w.json.partial.jsonl").exists()
+
+
 def test_answers_of_a_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("Ein Hund.\nEin Hund.\nEin Rad.\nEin Dach.\n")
