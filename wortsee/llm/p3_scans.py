@@ -72,6 +72,7 @@ _ROMAN = re.compile(r"^(?=[ivxlcdm])m{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv
 _NUMBER = re.compile(r"^[\[(–—\-\s.*]*(?:(?:seite|page|s\.|p\.)\s*)?([0-9lIOoSB|]{1,5}|[ivxlcdm]{1,9})[\])–—\-\s.*]*$", re.I)
 _NUMBER_FIRST = re.compile(r"^([\[(–—\-]*\s*(?:(?:seite|page)\s*)?(?:[0-9lIO|]{1,5}|[ivxlcdm]{1,9})\s*[\])–—\-]*)\s+(\S.*)$", re.I)
 _NUMBER_LAST = re.compile(r"^(.*\S)\s+([\[(–—\-]*\s*(?:(?:seite|page)\s*)?(?:[0-9lIO|]{1,5}|[ivxlcdm]{1,9})\s*[\])–—\-]*)$", re.I)
+_NUMERALS = frozenset("0123456789lio|vxcdmsb")
 _LEADERS = re.compile(r"[\s.…·_]{2,}$|^[\s.…·_]{2,}")
 _DIGITS = str.maketrans({"l": "1", "I": "1", "|": "1", "O": "0", "o": "0", "S": "5", "B": "8"})
 
@@ -112,9 +113,18 @@ def numbers_of(text: str) -> list[tuple[str, int]]:
     return out
 
 
+def _may_count(token: str) -> bool:
+    """Whether a line's first or last token can be of a page number: its signs only, or the word or sign beside it."""
+    bare = token.strip("[]()–—-.*").lower()
+    return not bare or bare in ("seite", "page", "s", "p") or _NUMERALS.issuperset(bare)
+
+
 def parts_of(line: str) -> list[tuple[str, str]]:
     """Ways to read a line as (number, text)."""
-    line = " ".join(line.split())
+    tokens = line.split()
+    line = " ".join(tokens)
+    if not tokens or not (_may_count(tokens[0]) or _may_count(tokens[-1])):
+        return [("", line)]
     if numbers_of(line):
         return [(line, "")]
     out = []
