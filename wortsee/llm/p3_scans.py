@@ -439,19 +439,24 @@ def odd(word: str) -> bool:
 
 
 def corrections(members: list[tuple[str, int]]) -> list[tuple[str, int, str, int]]:
-    """For each word of a form and its count: the word, its count, the word as it should read, that word's count."""
-    ranked = sorted(members, key=lambda m: (-m[1], m[0]))
+    """For each word of a form and its count: the word, its count, the word as it should read, that word's count.
+
+    Only words without odd signs are held against a word, the frequent ones
+    first and no further than they are frequent enough; of a form there are few
+    of these, however many misreadings it has.
+    """
+    rights = sorted(((w, n) for w, n in members if n and not odd(w)), key=lambda m: (-m[1], m[0]))
     out = []
     for word, n in members:
         best, best_n = word, n
-        if sum(c.isalpha() for c in word) >= 2 or odd(word):
-            need = 1 if odd(word) else 2
-            for right, m in ranked:
-                if m < max(need, TIMES * n if not odd(word) else n) or m <= n and not odd(word):
-                    if m < n:
-                        break
-                    continue
-                if not odd(right) and (e := explains(right, word)) and e <= max(1, len(word) // 3):
+        strange = odd(word)
+        if rights and (strange or sum(c.isalpha() for c in word) >= 2):
+            least = max(1, n) if strange else max(2, TIMES * n, n + 1)
+            most = max(1, len(word) // 3)
+            for right, m in rights:
+                if m < least:
+                    break
+                if 0 < explains(right, word) <= most:
                     best, best_n = right, m
                     break
         out.append((word, n, best, best_n))
