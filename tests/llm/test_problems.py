@@ -183,6 +183,26 @@ def test_heads_with_other_misreadings_are_near():
     assert not p3_scans.near_one(f("Der Schwalbenschwanz"), heads) and not p3_scans.near_one(f("Kapitol"), heads) and not p3_scans.near_one("", heads)
 
 
+def test_corrections_equal_brute_force():
+    rnd = random.Random(12)
+    for _ in range(60):
+        word = "".join(rnd.choice("bhuntelcimrsI1") for _ in range(rnd.randrange(3, 9)))
+        group = {word: rnd.choice([0, 1, 3, 40])}
+        for _ in range(rnd.randrange(1, 12)):
+            a, b = rnd.choice(p3_scans.MISREADINGS)
+            group.setdefault(rnd.choice(sorted(group)).replace(a, b, 1), rnd.choice([0, 1, 1, 2, 7, 60]))
+        got = {w: (r, m) for w, n, r, m in p3_scans.corrections(list(group.items()))}
+        for w, n in group.items():
+            strange = p3_scans.odd(w)
+            able = [
+                (-m, r) for r, m in group.items()
+                if m and not p3_scans.odd(r) and m >= (max(1, n) if strange else max(2, 5 * n)) and (strange or m > n) and 0 < p3_scans.explains(r, w) <= max(1, len(w) // 3)
+            ]
+            best = min(able) if able and (strange or sum(c.isalpha() for c in w) >= 2) else None
+            assert got[w] == ((best[1], -best[0]) if best else (w, n)), (group, w)
+    assert p3_scans.corrections([]) == []
+
+
 def test_misreadings_share_a_form():
     for right, wrong in p3_scans.MISREADINGS:
         a, b = f"X{right}y", f"X{wrong}y"
