@@ -148,6 +148,17 @@ def test_scans(spark):
     assert {(r["word"], r["right"]) for r in words.where("word <> right").collect()} == {("Katzc", "Katze")}
 
 
+def test_no_scans_and_further_columns(spark):
+    c = spark.createDataFrame([(1, 1, "t", "<p>Ein Hund.</p>"), (None, 1, None, PAGE.format(1, "a", "b", "c"))], "chapter_id long, source_id long, title string, html string")
+    for extra in ("scan", "heads", "book", "word", "l", "edges", "runs"):
+        c = c.withColumn(extra, F.lit("x"))
+    s = spark.createDataFrame([(1, None), (1, None), (None, "x")], "source_id long, title string").withColumn("heads", F.lit(1))
+    got, words = p3_scans.scan_tables(c, s)
+    assert [(r["chapter_id"], r["scan"]) for r in got.collect()] == [(1, False)] and words.where("word <> right").count() == 0
+    got, words = p3_scans.scan_tables(c.limit(0), s.limit(0))
+    assert got.count() == words.count() == p3_scans.broken_words(got, words).count() == 0
+
+
 FLOW = ["Die Katze sieht einen großen Hund, der vor der", "alten Mühle steht und mit dem Nachbarn auf das", "Wasser schaut, während der Wind durch den Gar-", "ten zieht und die Blätter auf den Weg wirft, bis", "am Abend der Regen kommt und das Fen-"]
 NEXT = ["ster nass ist. Die Katze läuft in das Haus, das", "neben der Mühle steht, und schläft auf dem Ofen,", "bis der Hund kommt und sie weckt. Es war 1787.", "Dann gehen beide zu der Wiese und laufen um die", "Wette, und der Nachbar lacht über das Geheim-"]
 LAST = ["nis der beiden Tiere, die er gut kennt, weil er", "sie gefüttert hat und weil er sie oft sieht."]
@@ -306,6 +317,16 @@ def test_sources_without_text(spark):
     assert ends(spark, []) == []
 
 
+def test_records_with_nulls_repeats_and_further_columns(spark):
+    rows = [("s", 1, 0, "Der Hund bellt. Die Katze"), ("s", 1, 1, "schläft."), ("s", 1, 1, "schläft."), ("s", None, 2, "Nein."), ("s", 1, None, "Nein."), ("s", 1, 3, None), (None, 2, 0, "Ja.")]
+    df = spark.createDataFrame(rows, "origin string, source_id long, key int, text string")
+    for c in ("block", "many", "size", "offset", "token", "word", "e", "begins", "k"):
+        df = df.withColumn(c, F.lit("x"))
+    got = sorted((r["origin"] or "", r["source_id"], r["end_pos"]) for r in p4_sentences.sentence_ends(df).collect())
+    assert [g for g in got if g[0] == "s"] == [("s", 1, 15), ("s", 1, 34)]
+    assert p4_sentences.sentence_ends(df.limit(0)).count() == 0
+
+
 # ---- 5
 
 
@@ -354,6 +375,13 @@ def test_pieces(spark):
     assert p6_split.split("x<p>" + "a" * 7000 + "<H2>b")[0] == 1
 
 
+def test_columns_of_pieces(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "x" * 9000), (3, "x" * 9000)], "chapter_id long, html string").withColumn("p", F.lit(1)).withColumn("split", F.lit("s"))
+    got = df.select("chapter_id", p6_split.pieces_of(F.col("html")).alias("s")).orderBy("chapter_id").collect()
+    assert [len(r["s"]["pieces"]) for r in got] == [0, 0, 2, 2] and [r["s"]["long_blocks"] for r in got] == [0, 0, 1, 1]
+    assert df.limit(0).select(p6_split.pieces_of(F.col("html"))).count() == 0
+
+
 # ---- 7
 
 
