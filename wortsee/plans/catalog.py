@@ -426,16 +426,27 @@ def _spine(spark, d) -> DataFrame:
     )
 
 
+def _archives(spark, d) -> DataFrame:
+    """(path, content) of a book made of every source's chapters."""
+    entry = F.struct(F.coalesce("chapter_index", F.lit(-1)).alias("o"), "chapter_id", "href", "html", "properties", "media_type", "dangling", "absent")
+    books = _spine(spark, d).where("source_id is not null").groupBy("source_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    return books.select(F.col("source_id").cast("string").alias("path"), archive(F.col("entries")).alias("content"))
+
+
 @query(f"""with {_BOOK} select source_id, cast("index" as int) "index", 'OEBPS/' || path href, length(coalesce(html, '')) n_html from kept where not absent""")
 def book_documents(spark, d):
     """Every source's chapters put into an archive and read as a book."""
-    entry = F.struct(F.coalesce("chapter_index", F.lit(-1)).alias("o"), "chapter_id", "href", "html", "properties", "media_type", "dangling", "absent")
-    books = _spine(spark, d).where("source_id is not null").groupBy("source_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-    files = books.select(F.col("source_id").cast("string").alias("path"), archive(F.col("entries")).alias("content"))
-    found = epub.read_books(files, on_error="row").where("error is null")
+    found = epub.read_books(_archives(spark, d), on_error="row").where("error is null")
     return found.select(F.col("file").cast("long").alias("source_id"), "index", "href", F.length("html").cast("long").alias("n_html"))
 
 
+@query(f"""with {_BOOK} select source_id, cast("index" as int) "index", length(coalesce(html, '')) n_html from kept where not absent and ("index" = 0 or "index" between 2 and 3)""")
+def selected_documents(spark, d):
+    """book_documents() of a selection, which is applied before a document is read."""
+    found = epub.read_books(_archives(spark, d), "0, 2-3", on_error="row").where("error is null")
+    return found.select(F.col("file").cast("long").alias("source_id"), "index", F.length("html").cast("long").alias("n_html"))
+
+
 def archive(entries):
     """Books made of entries (chapter_id, href, html, properties, media_type, dangling, absent) in reading order."""
 
@@ -532,3 +543,26 @@ def example_rows(spark, d):
     """The examples of every entry as rows, each with the sentence that it is first seen in."""
     rows = wl.example_rows(words_once(spark, d), ["source_id"], known_keys(spark, d))
     return rows.select("source_id", "lemma_key", "word_type", "text", F.col("at.s_ord").alias("sw_id"))
+
+
+@query(f"""with {_WORDS}, a as (select source_id, {_fold('lemma')} lemma_key, word_type, arg_min(lemma, row(sw_id, w_ord)) lemma, cast(coalesce(sum(count), 0) as bigint) count, count(distinct text) n_sentences from w where lemma is not null and source_id is not null group by 1, 2, 3 having sum(count) >= 2)
+select source_id, cast(row_number() over (partition by source_id order by count desc, lemma_key, word_type) - 1 as int) pos, lemma, word_type, count, n_sentences from a""")
+def list_documents(spark, d):
+    """Every source's list of words seen twice or more, written as a document and read back."""
+    made = wl.build(words_once(spark, d), ["source_id"], min_count=2).where("source_id is not null")
+    entry = F.struct(F.negate("count").alias("o"), "lemma_key", "word_type", "lemma", "article", "count", F.filter("sentences", lambda t: t.isNotNull()).alias("sentences"))
+    listed = F.transform(F.array_sort(F.collect_list(entry)), lambda e: F.struct(*[e[c].alias(c) for c in ("lemma", "word_type", "article", "count", "sentences")]))
+    docs = made.groupBy("source_id").agg(listed.alias("words"))
+    body = F.to_json(F.struct(F.lit(art.SCHEMA_VERSION).alias("schema_version"), F.lit(2).alias("min_count"), "words"))
+    rows = art.records(docs.select("source_id", body.alias("body")), "source_id", "body", "words", "min_count int").where("min_count = 2")
+    return rows.select("source_id", "pos", "record.lemma", "record.word_type", "record.count", F.size("record.sentences").cast("long").alias("n_sentences"))
+
+
+@query(f"""with {_CARDS}, e as (select distinct deck_id, {_norm('entry')} word from cards where deck_id is not null and {_norm('entry')} <> '')
+select deck_id, cast(row_number() over (partition by deck_id order by word) - 1 as int) pos, word from e""")
+def known_documents(spark, d):
+    """Every deck's entries, sorted, written as a document and read back."""
+    entry = cards_once(spark, d).where("deck_id is not null").select("deck_id", tx.normalize_word(F.col("entry")).alias("word")).where("word <> ''").distinct()
+    docs = entry.groupBy("deck_id").agg(F.array_sort(F.collect_list("word")).alias("words"))
+    body = F.to_json(F.struct(F.lit(art.SCHEMA_VERSION).alias("schema_version"), "words"))
+    return art.records(docs.select("deck_id", body.alias("body")), "deck_id", "body", "known_words").select("deck_id", "pos", F.col("record").alias("word"))
