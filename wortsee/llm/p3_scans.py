@@ -614,7 +614,7 @@ def _repaired(markup: pa.Array, title: pa.Array, book: pa.Array, heads: pa.Array
 
 def p3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(chapter_id, paragraph, text) of every scanned chapter, continuous and repaired."""
-    prepared = prepare(table(spark, sf_dir, "chapters"), table(spark, sf_dir, "sources"))
+    prepared = cut(prepare(table(spark, sf_dir, "chapters"), table(spark, sf_dir, "sources")))
     got, words = read_tables(prepared)
     wrong = words.where("right <> word").select("word", "right")
     fixes = got.where("scan").select("chapter_id", F.explode("words.word").alias("word")).join(wrong, "word").groupBy("chapter_id").agg(F.collect_list(F.struct("word", "right")).alias("fixes"))
