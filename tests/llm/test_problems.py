@@ -294,6 +294,25 @@ def test_evidence_of_other_blocks_decides(spark):
         assert got == expected, [whole[a:b] for a, b in zip([0, *got], got)]
 
 
+def test_the_corpus_counts_words_of_documents_that_do_not_ask_for_them(spark):
+    """Anna is a name and Dann is no noun by documents that have neither after a stop."""
+    texts = ["Da war … Anna in Hamburg.", "Er kam am 3. Dann schlief er."]
+    corpus = [*["Wir sahen heute Anna am Tor."] * 3, "Ja! Anna kam.", *["Wir gingen dann heim."] * 3]
+    rows = [("s", i, 0, t) for i, t in enumerate(texts + corpus)]
+    got = p4_sentences.sentence_ends(spark.createDataFrame(rows, "origin string, source_id long, key int, text string")).where("source_id < 2").collect()
+    assert sorted((r["source_id"], r["end_pos"]) for r in got) == [(0, len(texts[0])), (1, len("Er kam am 3.")), (1, len(texts[1]))]
+
+
+def test_long_tokens_are_judged_by_all_blocks(spark):
+    texts = {0: "Er las die Zeitschr. für Kunde.", 40: "Dort lag die Zeitschr. Meridian am Tor.", 41: "Heute kam die Zeitschr. Meridian an.", 42: "Da war … Meridian zu sehen."}
+    rows = spark.createDataFrame([("s", 1, k, t) for k, t in texts.items()], "origin string, source_id long, key int, text string")
+    text = " ".join(texts.values())
+    expected = [text.index(t) + len(t) for t in texts.values()]
+    for size in (8, 1 << 20):
+        got = sorted(r["end_pos"] for r in p4_sentences.sentence_ends(rows, size=size, context=2).collect())
+        assert got == expected, [text[a:b] for a, b in zip([0, *got], got)]
+
+
 def test_gaps_at_block_edges_end_no_sentence(spark):
     texts = {0: "Der Hund läuft.", 7: "Die Katze sieht", 30: "den Mond. Er ist rund.", 39: "Dann geht sie.", 60: "Ende"}
     rows = spark.createDataFrame([("s", 1, k, t) for k, t in texts.items()], "origin string, source_id long, key int, text string")
